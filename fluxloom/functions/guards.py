@@ -1,4 +1,10 @@
-"""Null- and infinity-aware arithmetic under ANSI mode."""
+"""Null- and infinity-aware arithmetic under ANSI mode.
+
+The conditional helpers mention their argument more than once. Give them a plain
+column: a deep expression nested in several of them would be repeated many times in
+the generated code. Callers therefore compute the value in one projection and guard
+it in the next, which Spark keeps apart exactly when merging would repeat work.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ INFINITY = float("inf")
 
 def nan_to_null(value: Column) -> Column:
     """NaN sorts above every number in Spark, so it is a missing value here."""
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def ieee_div(top: Column, bottom: Column) -> Column:

@@ -66,15 +66,20 @@ def wind_floor(wind: Column) -> Column:
     return at_least(wind, S.MIN_WIND_SPEED)
 
 
-def aerodynamic_resistance(wind: Column, ustar: Column) -> Column:
-    """Momentum plus boundary-layer resistance, held inside its plausible range.
+def unbounded_resistance(wind: Column, ustar: Column) -> Column:
+    """Momentum plus boundary-layer resistance.
 
-    A friction velocity of zero gives the upper bound, a negative one has no
+    A friction velocity of zero gives infinity, a negative one has no
     boundary-layer term and gives null.
     """
     momentum = ieee_div(wind, ustar * ustar)
     boundary = 6.2 * F.pow(ustar, F.lit(-0.667))
-    return clamp(nan_to_null(momentum + boundary), S.MIN_RESISTANCE, S.MAX_RESISTANCE)
+    return nan_to_null(momentum + boundary)
+
+
+def bounded_resistance(resistance: Column) -> Column:
+    """Aerodynamic resistance held inside its plausible range."""
+    return clamp(resistance, S.MIN_RESISTANCE, S.MAX_RESISTANCE)
 
 
 def available_energy(net_radiation: Column, ground_heat: Column) -> Column:
@@ -100,18 +105,27 @@ def equilibrium_flux(slope: Column, gamma: Column, energy: Column) -> Column:
     return S.PRIESTLEY_TAYLOR_ALPHA * F.try_divide(slope, slope + gamma) * energy
 
 
-def stress_ratio(flux: Column, potential: Column) -> Column:
-    """Actual over potential flux, negative values set to zero."""
-    return at_least(ieee_div(flux, potential), 0.0)
+def flux_ratio(flux: Column, potential: Column) -> Column:
+    """Actual over potential flux."""
+    return ieee_div(flux, potential)
+
+
+def stress_ratio(ratio: Column) -> Column:
+    """Flux ratio with negative values set to zero."""
+    return at_least(ratio, 0.0)
 
 
 def surface_conductance(
     flux: Column, ga: Column, gamma: Column, slope: Column, energy: Column, density: Column, vpd: Column
 ) -> Column:
-    """Combination equation solved for surface conductance; null unless positive."""
+    """Combination equation solved for surface conductance, of either sign."""
     shortfall = slope * energy + density * S.SPECIFIC_HEAT_AIR * ga * vpd - flux * (slope + gamma)
-    conductance = F.try_divide(flux * ga * gamma, shortfall)
-    return F.when(conductance > 0, conductance)
+    return F.try_divide(flux * ga * gamma, shortfall)
+
+
+def positive_only(value: Column) -> Column:
+    """The value where it is above zero, else null."""
+    return F.when(value > 0, value)
 
 
 def humidity_gradient_rate(

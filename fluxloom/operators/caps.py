@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
-from fluxloom.functions.guards import at_most, clamp, ieee_div
-from fluxloom.operators.order_stats import exact_percentiles, spread_percentiles
+from fluxloom.functions.guards import at_most, clamp
+from fluxloom.functions.physics import flux_ratio
+from fluxloom.operators.order_stats import exact_percentiles
 from fluxloom.storage import store
 
 # ---- fixed values: potential flux, raw parameter and capped parameter of each ratio model ----
@@ -21,10 +22,6 @@ RATIO_TARGETS = {
 CONDUCTANCE = "PMgs"
 
 
-def flux_ratio(potential: str) -> Column:
-    return ieee_div(F.col("LE_CORR"), F.col(potential))
-
-
 def percentile_caps(
     df: DataFrame, percentiles: Sequence[float] = S.CAP_PERCENTILES, min_energy: float = S.CAP_MIN_ENERGY
 ) -> DataFrame:
@@ -32,37 +29,25 @@ def percentile_caps(
 
     One row per percentile: ``percentile, PT_max, Penman_max, PMKc_max``.
     """
-    probs = {p / 100: p for p in percentiles}
-    ratios = {name: flux_ratio(potential) for name, (potential, _, _) in RATIO_TARGETS.items()}
-    found = exact_percentiles(df.where(F.col("AE") > min_energy), [], ratios, probs)
-    return _by_percentile(found, probs, {(name, p): f"{name}_max" for name in ratios for p in probs})
+    ratios = {name: flux_ratio(F.col("LE_CORR"), F.col(potential)) for name, (potential, _, _) in RATIO_TARGETS.items()}
+    found = exact_percentiles(df.where(F.col("AE") > min_energy), [], ratios, [p / 100 for p in percentiles])
+    return _by_percentile(found, {f"{name}_max": F.col("variable") == name for name in ratios})
 
 
 def conductance_caps(df: DataFrame, percentiles: Sequence[float] = S.CAP_PERCENTILES) -> DataFrame:
     """Lower and upper percentiles of surface conductance: ``percentile, PMgs_max, PMgs_min``."""
-    upper = {p / 100: p for p in percentiles}
-    lower = {1 - p / 100: p for p in percentiles}
-    found = exact_percentiles(df, [], {CONDUCTANCE: F.col("Gs_cor_raw")}, [*upper, *lower])
-    names = {(CONDUCTANCE, p): "PMgs_max" for p in upper} | {(CONDUCTANCE, p): "PMgs_min" for p in lower}
-    return _by_percentile(found, upper | lower, names)
-
-
-def _by_percentile(found: DataFrame, percent_of: dict[float, float], names: dict) -> DataFrame:
-    """Rows per percentile instead of per (variable, probability)."""
-    labelled = [F.struct(F.lit(p).alias("prob"), F.lit(q).alias("percentile")) for p, q in percent_of.items()]
-    to_percent = F.element_at(
-        F.map_from_entries(F.array(*[F.struct(x["prob"], x["percentile"]) for x in labelled])), F.col("prob")
-    )
-    columns: dict[str, Column] = {}
-    for (variable, prob), name in names.items():
-        match = (F.col("variable") == variable) & (F.col("prob") == prob)
-        columns[name] = columns[name].when(match, F.col("value")) if name in columns else F.when(
-            match, F.col("value")
-        )
-    return (
-        found.withColumn("percentile", to_percent)
-        .groupBy("percentile")
-        .agg(*[F.max(column).alias(name) for name, column in columns.items()])
+    probs = [q for p in percentiles for q in (p / 100, 1 - p / 100)]
+    found = exact_percentiles(df, [], {CONDUCTANCE: F.col("Gs_cor_raw")}, probs)
+    upper = F.col("prob") > 0.5
+    return _by_percentile(found, {f"{CONDUCTANCE}_max": upper, f"{CONDUCTANCE}_min": ~upper})
+
+
+def _by_percentile(found: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows per upper percentile; a lower percentile belongs to the upper one it mirrors."""
+    prob = F.col("prob")
+    percentile = F.round(100 * F.when(prob > 0.5, prob).otherwise(1 - prob), 6)
+    return found.groupBy(percentile.alias("percentile")).agg(
+        *[F.max(F.when(match, F.col("value"))).alias(name) for name, match in columns.items()]
     )
 
 
@@ -78,9 +63,9 @@ def capped(value: Column, cap: float) -> Column:
     return at_most(value, cap)
 
 
-def capped_ratio(potential: str, cap: float) -> Column:
+def capped_ratio(ratio: Column, cap) -> Column:
     """Flux ratio held in [0, cap]."""
-    return clamp(flux_ratio(potential), 0.0, cap)
+    return clamp(ratio, 0.0, cap)
 
 
 def imputed_conductance(low: float, high: float) -> Column:
@@ -92,11 +77,14 @@ def imputed_conductance(low: float, high: float) -> Column:
 def add_capped_targets(df: DataFrame, best: dict[str, float]) -> DataFrame:
     """Final learning targets from the chosen caps (``PT_max``, ..., ``PMgs_max``, ``PMgs_min``)."""
     ratios = {
-        target: capped_ratio(potential, best[f"{name}_max"])
-        for name, (potential, _, target) in RATIO_TARGETS.items()
+        f"_{name}": flux_ratio(F.col("LE_CORR"), F.col(potential)) for name, (potential, _, _) in RATIO_TARGETS.items()
+    }
+    held = {
+        target: capped_ratio(F.col(f"_{name}"), best[f"{name}_max"]) for name, (_, _, target) in RATIO_TARGETS.items()
     }
     conductance = imputed_conductance(best["PMgs_min"], best["PMgs_max"])
-    return df.withColumns(ratios | {"Gs_cor": conductance}).withColumn("Gs_log_cor", F.ln("Gs_cor"))
+    targets = df.withColumns(ratios | {"Gs_cor": conductance}).withColumns(held | {"Gs_log_cor": F.ln("Gs_cor")})
+    return targets.drop(*ratios)
 
 
 def best_caps(results: DataFrame) -> DataFrame:

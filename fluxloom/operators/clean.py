@@ -70,9 +70,10 @@ def add_air_properties(df: DataFrame) -> DataFrame:
     }
     second = {
         "Delta": P.sat_vapor_slope(t, F.col("esat_air")),
-        "ra_H": P.aerodynamic_resistance(F.col("WS_F"), F.col("USTAR")),
+        "_resistance": P.unbounded_resistance(F.col("WS_F"), F.col("USTAR")),
     }
-    return df.withColumns(first).withColumns(second).withColumn("ga_H", F.try_divide(F.lit(1.0), F.col("ra_H")))
+    bounded = df.withColumns(first).withColumns(second).withColumn("ra_H", P.bounded_resistance(F.col("_resistance")))
+    return bounded.withColumn("ga_H", F.try_divide(F.lit(1.0), F.col("ra_H"))).drop("_resistance")
 
 
 def add_potential_fluxes(df: DataFrame) -> DataFrame:
@@ -96,13 +97,20 @@ def add_parameters(df: DataFrame) -> DataFrame:
         flux, F.col("ga_H"), F.col("gamma"), F.col("Delta"), F.col("AE"), F.col("density"),
         F.col("VPD_F") / S.HPA_PER_KPA,
     )
-    return df.withColumns({
-        "Penman_stress_cor_raw": P.stress_ratio(flux, F.col("PET_Penman")),
-        "PT_stress_cor_raw": P.stress_ratio(flux, F.col("PET_PT")),
-        "Gs_cor_raw": conductance,
-        "PM_stress_cor_raw": P.stress_ratio(flux, F.col("PET_PM")),
+    unguarded = df.withColumns({
+        "_Penman": P.flux_ratio(flux, F.col("PET_Penman")),
+        "_PT": P.flux_ratio(flux, F.col("PET_PT")),
+        "_PM": P.flux_ratio(flux, F.col("PET_PM")),
+        "_Gs": conductance,
         "Frh_cor": gradient,
-    }).withColumn("drh_cor", F.col("Frh_cor") * F.col("ra_H"))
+    })
+    return unguarded.withColumns({
+        "Penman_stress_cor_raw": P.stress_ratio(F.col("_Penman")),
+        "PT_stress_cor_raw": P.stress_ratio(F.col("_PT")),
+        "Gs_cor_raw": P.positive_only(F.col("_Gs")),
+        "PM_stress_cor_raw": P.stress_ratio(F.col("_PM")),
+        "drh_cor": F.col("Frh_cor") * F.col("ra_H"),
+    }).drop("_Penman", "_PT", "_PM", "_Gs")
 
 
 def add_physics(df: DataFrame) -> DataFrame:

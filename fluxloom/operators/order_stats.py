@@ -154,8 +154,8 @@ def exact_percentiles(
         )
         .select(
             *group, "prob", "n",
-            F.when(share == 0, F.col("_low"))
-            .otherwise((1 - share) * F.col("_low") + share * F.col("_high"))
+            F.when(F.col("_low") == F.col("_high"), F.col("_low"))
+            .otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * share)
             .alias("value"),
         )
     )

@@ -52,7 +52,7 @@ ORACLES["schema_gate"] = with_sql(
 )
 ORACLES["scan_csv"] = with_sql("clean", "SELECT site, obs_date, TA_F, H_CORR, LE_CORR, USTAR FROM clean")
 ORACLES["scan_satellite"] = with_sql("sat", " UNION ALL ".join(
-    f"SELECT site, '{c}' AS product, count({c}) AS n, {r6(f'avg({c})', 'mean_value')}, max(obs_date) AS last_day "
+    f"SELECT site, '{c}' AS product, count({c}) AS n, {r6(f'sum({c})', 'total')}, max(obs_date) AS last_day "
     f"FROM sat WHERE {c} IS NOT NULL GROUP BY site" for c in FILLED
 ))
 ORACLES["scan_parquet"] = with_sql(
@@ -106,8 +106,10 @@ ORACLES["stress_ratio_capped"] = _daily("targets", "PT_stress_cor", "Penman_stre
 ORACLES["gs_impute_log"] = _daily("targets", "Gs_cor", "Gs_log_cor")
 ORACLES["hybrid_forward"] = with_sql("phys", f"""
 SELECT site, obs_date, LE_CORR, {', '.join(f'CAST(0 AS DOUBLE) AS {m.estimate}' for m in HYBRIDS)}
-FROM phys WHERE Gs_cor_raw IS NOT NULL AND LE_CORR > 0""")
-ORACLES["hybrid_estimates"] = _daily("scored", *[m.estimate for m in MODELS])
+FROM phys WHERE Gs_cor_raw IS NOT NULL AND LE_CORR > 0 AND AE > 0""")
+ORACLES["hybrid_estimates"] = with_sql(
+    "scored", f"SELECT site, obs_date, LE_CORR_RF, {_columns(*[m.estimate for m in HYBRIDS])} FROM scored"
+)
 ORACLES["igbp_class"] = with_sql("flux", f"""
 SELECT IGBP2, count(DISTINCT site) AS sites, count(*) AS n,
        concat(IGBP2, ' (n = ', CAST(count(DISTINCT site) AS VARCHAR), ')') AS label

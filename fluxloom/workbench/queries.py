@@ -138,7 +138,7 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three satellite CSVs read back; rows and mean value per site and product."""
+    """Three satellite CSVs read back; rows and total per site and product."""
     rows = V.satellite(V.clean(spark, sf_dir)).withColumns({
         "date": F.date_format("obs_date", "yyyy-MM-dd"), "name": F.col("site"),
         "percent": F.col("Fpar") / S.FPAR_SCALE, "LC_Type1": (F.col("k") % 17).cast("int"),
@@ -151,7 +151,7 @@ def scan_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
         back = read_satellite(spark, path, product)
         means.append(back.groupBy("site").agg(
             F.lit(product).alias("product"), F.count(product).alias("n"),
-            F.round(F.avg(product), 6).alias("mean_value"), F.max("DATE").alias("last_day"),
+            F.round(F.sum(product), 6).alias("total"), F.max("DATE").alias("last_day"),
         ))
     return means[0].unionByName(means[1]).unionByName(means[2])
 
@@ -307,7 +307,8 @@ def gs_impute_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hybrid_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six physical models with their exact parameters: each misses the measured flux by nothing."""
-    rows = V.physical(spark, sf_dir).where(F.col("Gs_cor_raw").isNotNull() & (F.col("LE_CORR") > 0))
+    usable = F.col("Gs_cor_raw").isNotNull() & (F.col("LE_CORR") > 0) & (F.col("AE") > 0)
+    rows = V.physical(spark, sf_dir).where(usable)
     exact = {
         "PT_stress_cor_RF": F.col("PT_stress_cor_raw"),
         "Penman_stress_cor_RF": F.col("Penman_stress_cor_raw"),
@@ -324,7 +325,7 @@ def hybrid_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hybrid_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fluxes from the six physical models with estimated parameters."""
-    return _rounded(V.scored(spark, sf_dir), *[m.estimate for m in MODELS])
+    return _rounded(V.scored(spark, sf_dir), *[m.estimate for m in HYBRIDS], keep=[*KEYS, "LE_CORR_RF"])
 
 
 @query
@@ -469,21 +470,21 @@ def best_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cap_rows(spark, sf_dir)
     grid = C.cap_grid(rows)
     caps = [row.asDict() for row in grid.collect()]  # one row per percentile
+    names = [*[f"{name}_max" for name in C.RATIO_TARGETS], "PMgs_max", "PMgs_min"]
+    listed = F.array(*[
+        F.struct(F.lit(cap["percentile"]).alias("percentile"), *[F.lit(cap[n]).alias(n) for n in names])
+        for cap in caps
+    ])
     measured = F.col("LE_CORR")
-    errors = []
-    for number, cap in enumerate(caps):
-        for name, (potential, _, _) in C.RATIO_TARGETS.items():
-            flux = F.col(potential) * (0.9 * C.capped_ratio(potential, cap[f"{name}_max"]) + 0.05)
-            errors.append(F.round(stats.rmse(measured, flux), 6).alias(f"{name}_{number}"))
-        conductance = 1000 * C.imputed_conductance(cap["PMgs_min"], cap["PMgs_max"])
-        errors.append(F.round(stats.rmse(measured, conductance), 6).alias(f"{C.CONDUCTANCE}_{number}"))
-    names = [*C.RATIO_TARGETS, C.CONDUCTANCE]
-    entries = [
-        F.struct(F.lit(cap["percentile"]).alias("percentile"),
-                 *[F.col(f"{name}_{number}").alias(f"{name}_rmse") for name in names])
-        for number, cap in enumerate(caps)
-    ]
-    scores = rows.agg(*errors).select(F.inline(F.array(*entries)))
+    modelled = {
+        name: F.col(potential) * (0.9 * C.capped_ratio(F.col(f"_{name}"), F.col(f"{name}_max")) + 0.05)
+        for name, (potential, _, _) in C.RATIO_TARGETS.items()
+    } | {C.CONDUCTANCE: 1000 * C.imputed_conductance(F.col("PMgs_min"), F.col("PMgs_max"))}
+    errors = [F.round(stats.rmse(measured, flux), 6).alias(f"{name}_rmse") for name, flux in modelled.items()]
+    ratios = {
+        f"_{name}": P.flux_ratio(measured, F.col(potential)) for name, (potential, _, _) in C.RATIO_TARGETS.items()
+    }
+    scores = rows.withColumns(ratios).select("*", F.inline(listed)).groupBy("percentile").agg(*errors)
     best = C.best_caps(grid.join(scores, "percentile"))
     return best.select(*[F.round(name, 6).alias(name) for name in best.columns])
 
@@ -503,7 +504,7 @@ def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rmse_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = E.rmse_by_model(V.split_rows(V.scored(spark, sf_dir)), ["split"])
+    errors = E.rmse_by_model(V.scored_split(spark, sf_dir), ["split"])
     return _rounded(errors, *[m.short for m in MODELS], keep=["split"])
 
 
@@ -545,7 +546,7 @@ def boxplot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _card(column: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        test = V.split_rows(V.scored(spark, sf_dir)).where(F.col("split") == "test")
+        test = V.scored_split(spark, sf_dir).where(F.col("split") == "test")
         return _rounded(E.scorecard(test), column, keep=["models"])
 
     return run
@@ -562,7 +563,7 @@ REGISTRY |= {name: _card(column) for name, column in CARD_COLUMNS.items()}
 
 @query
 def model_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = V.split_rows(V.scored(spark, sf_dir)).where(F.col("split") == "test")
+    test = V.scored_split(spark, sf_dir).where(F.col("split") == "test")
     columns = ["partial_stdev", "stdev_ratio", "mean_bias", "rmse", "parameter_R2"]
     return _rounded(E.scorecard(test), *columns, keep=["models"])
 
@@ -570,7 +571,7 @@ def model_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation over the hybrid models of parameter R2 and error."""
-    test = V.split_rows(V.scored(spark, sf_dir)).where(F.col("split") == "test")
+    test = V.scored_split(spark, sf_dir).where(F.col("split") == "test")
     found = E.correlation_test(E.scorecard(test), "parameter_R2", "rmse", drop_models=["Pure-ML"])
     return _rounded(found, "r", "t", "p", keep=["n"])
 
@@ -585,8 +586,7 @@ def extreme_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _extremes(level: float) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        needed = {*S.EXTREME_VARIABLES.values(), *[m.estimate for m in MODELS], E.OBSERVED}
-        rows = V.split_rows(store(V.scored(spark, sf_dir).select(*KEYS, *sorted(needed)), "scored"))
+        rows = V.scored_split(spark, sf_dir)
         table = E.extreme_errors(rows.where(F.col("split") == "test"), E.extreme_thresholds(rows, level), ["S7"])
         return _rounded(table, *S.EXTREME_NAMES, keep=["model"])
 
@@ -681,7 +681,7 @@ def rmse_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Damping a residual stands in for a forest size and for an mtry.
     """
-    rows = V.split_rows(V.scored(spark, sf_dir)).where(F.col("split") == "train")
+    rows = V.scored_split(spark, sf_dir).where(F.col("split") == "train")
     observed = F.col("LE_CORR")
 
     def damped(column: str, share: float):

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
-from fluxloom.functions.hybrid import add_flux_estimates
+from fluxloom.functions.hybrid import MODELS, add_flux_estimates
 from fluxloom.operators.caps import add_capped_targets
 from fluxloom.operators.clean import add_physics, balance_ok, quality_ok, sentinel_to_null
 from fluxloom.operators.joins import add_land_cover
 from fluxloom.operators.lookahead import fill_ahead
 from fluxloom.operators.splits import split_stratified
+from fluxloom.storage import store
 
 KEYS = ["site", "obs_date"]
 FILLED = ["soil_moisture", "VegWC", "Fpar"]
@@ -245,6 +246,18 @@ def split_rows(df: DataFrame) -> DataFrame:
     return split_stratified(df, ["site"], KEYS)
 
 
+SCORED_COLUMNS = sorted({
+    *KEYS, "LE_CORR", "AE", "NETRAD", "G_F_MDS", "VPD_F", "Delta", "density", "gamma", "esat_air", "ra_H",
+    "PET_PT", "PET_Penman", "PET_PM", *S.EXTREME_VARIABLES.values(),
+    *[column for model in MODELS for column in (model.target, model.learned, model.estimate)],
+})
+
+
+def scored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows, stored once because the split reads them again, with their side."""
+    return split_rows(store(scored(spark, sf_dir).select(*SCORED_COLUMNS), "scored"))
+
+
 def split_sql(name: str, source: str, strata: str = "site") -> str:
     return f"""
 {name} AS (
@@ -293,7 +306,7 @@ classed AS (
 
 def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored test rows with their land-cover group."""
-    test = split_rows(scored(spark, sf_dir)).where(F.col("split") == "test")
+    test = scored_split(spark, sf_dir).where(F.col("split") == "test")
     return add_land_cover(test, metadata(spark, sf_dir))
 
 
