@@ -10,7 +10,8 @@ table, is the group. Here a wanted rank is narrowed down instead:
 3. order only the distinct values left in the kept ranges.
 
 Each pass is a scan with map-side combining; what is shuffled are counts, and only
-the counts of the last pass go through a window. Every count is exact, so the
+the counts of the last pass go through a window: those of a group's kept range, 65,536 rows or so
+by default however big the group is. Every count is exact, so the
 result is exact whatever the distribution; its shape only decides how many rows
 the last pass has to order.
 """
@@ -27,7 +28,7 @@ from fluxloom.operators.joins import join_null_safe
 from fluxloom.storage import store
 
 MAX_BUCKETS = 1 << 16
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1 << 16
 ROUNDS = 2
 _LIMIT = 1.7e308
 

@@ -5,12 +5,13 @@ cuts its lineage, survives the loss of any executor, and gives the planner its
 real size on disk: Spark then broadcasts it only while its files stay below
 ``spark.sql.autoBroadcastJoinThreshold`` and uses a sort-merge join (split by AQE
 where a key is hot) beyond that. No broadcast hint is used anywhere.
+
+Stored tables stay, like checkpoint files, until the cluster's own retention for the
+folder removes them: a lazy result may still read them.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -30,7 +31,6 @@ def shared_folder(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="fluxloom-")
-        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
     return _local_folders[app]
 
 
