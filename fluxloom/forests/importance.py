@@ -56,7 +56,8 @@ def permutation_importance(
     seed: int = 42,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``variable, Overall``: mean increase of squared error over trees, in standard errors of that mean.
+    """``variable, Overall, increase``: mean increase of squared error over trees, in standard errors
+    of that mean and as it is.
 
     ``df`` should be rows the forest was not fitted on.
     """
@@ -75,7 +76,8 @@ def permutation_importance(
         ["tree"], list(predictors), "variable", "increase"
     )
     deviation = F.stddev_samp("increase") / F.sqrt(F.count(F.lit(1)))
-    return long.groupBy("variable").agg(F.try_divide(F.avg("increase"), deviation).alias("Overall"))
+    mean = F.avg("increase")
+    return long.groupBy("variable").agg(F.try_divide(mean, deviation).alias("Overall"), mean.alias("increase"))
 
 
 def label_importance(importance: DataFrame) -> DataFrame:

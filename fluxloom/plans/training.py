@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxloom import schema as S
 from fluxloom.forests.models import (
     ForestSettings, best_mtry, fit_all, predictors_of, save_models, sweep_caps, tune_mtry,
 )
@@ -15,6 +17,7 @@ from fluxloom.operators.caps import add_capped_targets, best_caps, cap_grid, cap
 from fluxloom.operators.splits import save_split, split_stratified
 from fluxloom.sources.sinks import write_numbered_csv, write_table
 from fluxloom.sources.tables import read_table
+from fluxloom.storage import store
 
 KEYS = ["site", "DATE"]
 
@@ -30,11 +33,16 @@ class TrainedTables:
 
 
 def search_caps(
-    df: DataFrame, split: DataFrame, settings: ForestSettings = ForestSettings(), caps_from: str = "all"
+    df: DataFrame,
+    split: DataFrame,
+    settings: ForestSettings = ForestSettings(),
+    caps_from: str = "all",
+    percentiles: Sequence[float] = S.CAP_PERCENTILES,
 ) -> DataFrame:
     """Cap table with validation errors. ``caps_from='train'`` keeps test rows out of the caps."""
     train = df.join(split.where(F.col("split") == "train"), KEYS, "left_semi")
-    return sweep_caps(train, cap_grid(train if caps_from == "train" else df), KEYS, settings)
+    grid = cap_grid(train if caps_from == "train" else df, percentiles)
+    return store(sweep_caps(train, grid, KEYS, settings), "cap_table")
 
 
 def tune_all(train: DataFrame, settings: ForestSettings = ForestSettings()) -> dict[str, DataFrame]:
@@ -49,6 +57,7 @@ def train(
     settings: ForestSettings = ForestSettings(),
     tune: bool = True,
     tree_counts: tuple[int, ...] = (100, 500),
+    percentiles: Sequence[float] = S.CAP_PERCENTILES,
 ) -> TrainedTables:
     """Split, search caps, derive targets, tune mtry and fit every forest size."""
     paths = TrainedTables(f"{output}/split", f"{output}/max_decision", f"{output}/targets", f"{output}/models")
@@ -56,7 +65,7 @@ def train(
     save_split(split_stratified(rows, ["site"], KEYS), KEYS, paths.split)
     split = read_table(spark, paths.split)
 
-    results = search_caps(rows, split, settings)
+    results = search_caps(rows, split, settings, percentiles=percentiles)
     write_numbered_csv(results, paths.cap_table, ["percentile"])
     best = caps_as_numbers(best_caps(results).first())
     write_table(add_capped_targets(rows, best), paths.targets)
