@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fluxloom.operators.joins import join_null_safe
 from fluxloom.storage import store
 
-BLOCK_DAYS = 64
+BLOCK_DAYS = 256
 
 
 def look_ahead(
@@ -31,7 +31,9 @@ def look_ahead(
     """Add the columns ``make(window)`` builds from the current and up to ``rows`` following rows.
 
     ``make`` gets a window ordered by ``order`` (a date or timestamp) and may use
-    any frame between the current row and ``rows`` rows ahead.
+    any frame between the current row and ``rows`` rows ahead. Both branches of the
+    union read one shuffle by block; give denser series (many rows a day) fewer days
+    per block.
     """
     block = F.floor(F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) / block_days)
     in_block = Window.partitionBy(*keys, "_block")

@@ -10,10 +10,11 @@ table, is the group. Here a wanted rank is narrowed down instead:
 3. order only the distinct values left in the kept ranges.
 
 Each pass is a scan with map-side combining; what is shuffled are counts, and only
-the counts of the last pass go through a window: those of a group's kept range, 65,536 rows or so
-by default however big the group is. Every count is exact, so the
-result is exact whatever the distribution; its shape only decides how many rows
-the last pass has to order.
+the counts of the last pass go through a window. Step 2 repeats until a kept range
+has few rows or one value, so that window sees a few thousand values per range,
+however big a group is. Every count is exact, and so is the result, whatever the
+distribution; its shape only decides how many rounds are needed (most often one, a
+second one for groups of many millions).
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from fluxloom.operators.joins import join_null_safe
 from fluxloom.storage import store
 
 MAX_BUCKETS = 1 << 16
-ROWS_PER_BUCKET = 1 << 16
-ROUNDS = 2
+ROWS_PER_BUCKET = 256
+MAX_ROUNDS = 8
+ENOUGH = 16  # a kept range of up to this many buckets' rows is ordered without another round
 _LIMIT = 1.7e308
 
 Ranks = Callable[[Column], Column]
@@ -69,7 +71,6 @@ def value_at_rank(
     keys: list[str],
     ranks: Ranks,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Values at given ranks of the column ``v`` within each group.
 
@@ -89,8 +90,9 @@ def value_at_rank(
         "ranks",
     )
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
-    for scale in (_log_scale, *[_linear_scale] * (rounds - 1)):
-        wide = (F.col("_size") > rows_per_bucket) & (F.col("_lo") < F.col("_hi"))
+    for number in range(MAX_ROUNDS):
+        scale, limit = (_linear_scale, ENOUGH * rows_per_bucket) if number else (_log_scale, rows_per_bucket)
+        wide = (F.col("_size") > limit) & (F.col("_lo") < F.col("_hi"))
         ranges = wanted.where(wide).select(*group, "_base", "_size").distinct()
         if ranges.isEmpty():
             break

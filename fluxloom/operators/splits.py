@@ -36,7 +36,7 @@ def split_stratified(
     """
     place = hash_place(keys, seed)
     cuts = value_at_rank(
-        df.select(*strata, place.alias("v")),
+        store(df.select(*strata, place.alias("v")), "places"),
         strata,
         lambda n: F.array(F.ceil(n * F.lit(fraction)).cast("long") - 1),
         rows_per_bucket,

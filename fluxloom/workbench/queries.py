@@ -23,10 +23,10 @@ from fluxloom.operators import joins as J
 from fluxloom.operators import reshape as R
 from fluxloom.operators.boxplot import boxplot_outliers, boxplot_stats
 from fluxloom.operators.lookahead import fill_ahead, next_or_last, series_last
-from fluxloom.operators.splits import split_by_target, split_stratified
+from fluxloom.operators.splits import save_split, split_by_target
 from fluxloom.sources import daily_files as D
 from fluxloom.sources import sinks
-from fluxloom.sources.tables import read_satellite, read_site_metadata, read_table
+from fluxloom.sources.tables import load_model, read_satellite, read_site_metadata, read_table
 from fluxloom.storage import fresh_path, store
 from fluxloom.workbench import views as V
 
@@ -399,15 +399,16 @@ def join_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.split_rows(V.clean(spark, sf_dir)).select(*KEYS, "split")
+    rows = store(V.clean(spark, sf_dir).select(*KEYS), "keys")
+    return V.split_rows(rows).select(*KEYS, "split")
 
 
 @query
 def split_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows outside the saved training membership."""
-    rows = V.clean(spark, sf_dir)
+    rows = store(V.clean(spark, sf_dir).select(*KEYS, "k"), "keys")
     path = fresh_path(spark, "membership")
-    V.split_rows(rows).select(*KEYS, "split").write.parquet(path)
+    save_split(V.split_rows(rows), KEYS, path)
     return J.outside_split(rows, read_table(spark, path), "train", KEYS).select(*KEYS, "k")
 
 
@@ -599,8 +600,7 @@ REGISTRY |= {"extreme_eval": _extremes(0.03), "extreme_eval_1pct": _extremes(0.0
 @query
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of three predictors filled with medians of the training rows."""
-    parted = store(V.split_rows(V.satellite(V.clean(spark, sf_dir)).select("k", *KEYS)), "parted")
-    rows = V.satellite(parted)
+    rows = V.satellite(V.split_rows(store(V.clean(spark, sf_dir).select("k", *KEYS), "keys")))
     model = MedianImpute(inputCols=V.FILLED).fit(rows.where(F.col("split") == "train"))
     return _rounded(model.transform(rows), *[f"{c}_filled" for c in V.FILLED])
 
@@ -614,8 +614,7 @@ def _forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "VPD_F", "ra_H", "gamma", "esat_air", "PET_PT", "PET_Penman", "PET_PM", "Gs_cor_raw",
         *[raw for _, raw, _ in C.RATIO_TARGETS.values()],
     }
-    rows = V.with_targets(spark, sf_dir).select(*sorted(columns))
-    return store(V.split_rows(store(rows, "targets")), "forest_rows")
+    return V.split_rows(store(V.with_targets(spark, sf_dir).select(*sorted(columns)), "targets"))
 
 
 def _part(rows: DataFrame, part: str) -> DataFrame:
@@ -630,8 +629,6 @@ def rf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = M.fit_forest(_part(rows, "train"), model.target, S.PREDICTORS, M.DEFAULT_MTRY, SMALL)
     folder = fresh_path(spark, "model")
     M.save_models({model.target: fitted}, folder, SMALL.trees)
-    from fluxloom.sources.tables import load_model
-
     loaded = load_model(M.model_path(folder, model.target, SMALL.trees))
     target = F.col(model.target)
     return M.predict(loaded, _part(rows, "test")).agg(
