@@ -300,8 +300,8 @@ marked AS (
   FROM differences d JOIN quartiles q ON d.IGBP2 IS NOT DISTINCT FROM q.IGBP2 AND d.model = q.model)"""
 ORACLES["boxplot_table"] = with_sql("classed", f"""
 SELECT IGBP2, model, count(*) AS n, count(*) FILTER (NOT inside) AS outliers,
-       {r6('min(rmse) FILTER (inside)', 'ymin')}, {_columns('lower', 'middle', 'upper')},
-       {r6('max(rmse) FILTER (inside)', 'ymax')}
+       {r6('min(rmse) FILTER (inside)', 'ymin', 9)}, {', '.join(r6(c, c, 9) for c in ('lower', 'middle', 'upper'))},
+       {r6('max(rmse) FILTER (inside)', 'ymax', 9)}
 FROM marked GROUP BY IGBP2, model, lower, middle, upper""", _ROLLUP, _DIFFERENCES, _BOXES)
 ORACLES["boxplot_points"] = with_sql(
     "classed", "SELECT IGBP2, site, model, rmse FROM marked WHERE NOT inside", _ROLLUP, _DIFFERENCES, _BOXES

@@ -308,7 +308,7 @@ def gs_impute_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six physical models with their exact parameters: each misses the measured flux by nothing."""
     usable = F.col("Gs_cor_raw").isNotNull() & (F.col("LE_CORR") > 0) & (F.col("AE") > 0)
-    rows = V.physical(spark, sf_dir).where(usable)
+    rows = store(V.physical(spark, sf_dir), "physical").where(usable)
     exact = {
         "PT_stress_cor_RF": F.col("PT_stress_cor_raw"),
         "Penman_stress_cor_RF": F.col("Penman_stress_cor_raw"),
@@ -536,7 +536,9 @@ def _site_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxplot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box-plot statistics of the per-site differences per group and model."""
     boxes = boxplot_stats(_site_differences(spark, sf_dir), ["IGBP2", "model"], "rmse")
-    return _rounded(boxes, "ymin", "lower", "middle", "upper", "ymax", keep=["IGBP2", "model", "n", "outliers"])
+    # quarters of six-decimal numbers have up to eight decimals
+    keep, values = ["IGBP2", "model", "n", "outliers"], ["ymin", "lower", "middle", "upper", "ymax"]
+    return V.rounded(boxes, keep, values, digits=9)
 
 
 @query

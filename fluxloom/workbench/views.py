@@ -333,11 +333,11 @@ def with_sql(upto: str, select: str, *extra: str) -> str:
     return "WITH" + ",".join([*parts, *extra]) + "\n" + select
 
 
-def r6(expression: str, name: str | None = None) -> str:
+def r6(expression: str, name: str | None = None, digits: int = 6) -> str:
     """SQL: rounded to six decimals, without a negative zero."""
-    return f"round({expression}, 6) + CAST(0 AS DOUBLE) AS {name or expression}"
+    return f"round({expression}, {digits}) + CAST(0 AS DOUBLE) AS {name or expression}"
 
 
-def rounded(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+def rounded(df: DataFrame, keep: list[str], columns: list[str], digits: int = 6) -> DataFrame:
     """Spark counterpart of ``r6``."""
-    return df.select(*keep, *[F.round(F.col(name), 6).alias(name) for name in columns])
+    return df.select(*keep, *[F.round(F.col(name), digits).alias(name) for name in columns])
