@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import quality
+from fluxloom.llm import mixing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -28,3 +28,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mix = mixing.mixed(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mix.select(
+        "row.doc_id", F.col("words").alias("size"), F.col("source_words").alias("source_size"), "target",
+        (F.col("words") * F.col("copies")).alias("taken"))
+
+
+@query
+def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
+    rows = simhash.classified(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select(
+        F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
