@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import mixing, quality, simhash
+from fluxloom.llm import mixing, quality, sentences, simhash, tokens
+from fluxloom.storage import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def query(function: Query) -> Query:
     REGISTRY[function.__name__] = function
@@ -45,3 +56,16 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.classified(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select(
         F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's tokens, read back from the shards."""
+    shards = store(tokens.shards_of(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY)), "token-shards")
+    return tokens.per_document(shards)
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, their checksum, parity with the original library, and the round trip."""
+    return sentences.encoded(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary(PIECE_MODEL))
