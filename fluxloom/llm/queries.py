@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import mixing, quality, sentences, simhash, tokens
+from fluxloom.llm import mixing, quality, secrets, sentences, simhash, tokens
 from fluxloom.storage import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,10 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, their checksum, parity with the original library, and the round trip."""
     return sentences.encoded(table(spark, sf_dir, "documents"), ["doc_id"], vocabulary(PIECE_MODEL))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, and all spans with those that the network adds."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, ["doc_id"], secrets.fit(docs))
