@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import mixing, quality, secrets, sentences, simhash, tokens
+from fluxloom.llm import mixing, pages, quality, secrets, sentences, simhash, tokens, topk, toxicity
 from fluxloom.storage import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,25 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest, and all spans with those that the network adds."""
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, ["doc_id"], secrets.fit(docs))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, with the examples that it rests on."""
+    rows, index = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return toxicity.scored(rows, index).select(
+        F.col("id").alias("doc_id"), toxicity.is_held_out(F.col("id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    rows = table(spark, sf_dir, "pages")
+    text = pages.extracted(rows, ["page_id", "url"], pages.fit(rows))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
