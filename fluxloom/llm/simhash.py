@@ -165,27 +165,43 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("low").alias("node"), F.col("low").alias("root"))).distinct()
 
 
-def classified(docs: DataFrame, carry: list[str], doc_id: str = "doc_id") -> DataFrame:
-    """Every row with ``print``, ``root`` (the class, as its smallest fingerprint) and ``component_id``."""
-    rows = store(docs.select(
-        F.struct(*[docs[c] for c in carry]).alias("row"), docs[doc_id].alias("id"),
-        _fingerprints(docs["text"].cast("string")).alias("print")), "simhash-prints")
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(print, root, component_id) of every distinct fingerprint among ``rows`` (id, print)."""
     prints = store(rows.groupBy("print").agg(F.min("id").alias("first_id")), "simhash-distinct")
     roots = store(components(links(prints)), "simhash-roots")
     linked = roots.join(prints, F.col("node") == F.col("print")).select("node", "root", "first_id")
     named = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = roots.join(named, "root").select("node", "root", "class_id")
-    known = prints.join(classes, F.col("print") == F.col("node"), "left").select(
+    return prints.join(classes, F.col("print") == F.col("node"), "left").select(
         "print", F.coalesce("root", "print").alias("root"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("component_id"))
-    return rows.join(known, "print").select("row", "id", "print", "root", "component_id")
+
+
+def printed(docs: DataFrame, carry: list[str], doc_id: str = "doc_id") -> DataFrame:
+    """``row``, ``id`` and ``print`` of every document, stored; ``h`` tells the rows of a fingerprint apart."""
+    row = F.struct(*[docs[c] for c in carry])
+    return store(docs.select(
+        row.alias("row"), docs[doc_id].alias("id"), F.xxhash64(row).alias("h"),
+        _fingerprints(docs["text"].cast("string")).alias("print")), "simhash-prints")
+
+
+def classified(docs: DataFrame, carry: list[str], doc_id: str = "doc_id") -> DataFrame:
+    """Every row with ``print``, ``root`` (the class, as its smallest fingerprint) and ``component_id``."""
+    rows = printed(docs, carry, doc_id)
+    return rows.join(classes_of(rows), "print").select("row", "id", "print", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, carry: list[str], doc_id: str = "doc_id") -> DataFrame:
-    """One carried row per class: the smallest id, ids before nulls, equal ids by a hash of their columns."""
-    rows = classified(docs, carry, doc_id)
-    rank = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
-    return rows.groupBy("root").agg(F.min_by("row", rank).alias("row")).select("row.*")
+    """One carried row per class: the smallest id, ids before nulls, equal ids by a hash of their columns.
+
+    The choice is made over narrow rows; the carried columns are shuffled once, spread by fingerprint and row.
+    """
+    rows = printed(docs, carry, doc_id)
+    rank = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("h"), F.col("print"))
+    best = rows.select("id", "h", "print").join(classes_of(rows), "print").groupBy("root").agg(F.min(rank).alias("b"))
+    best = best.select(F.col("b.print").alias("b_print"), F.col("b.h").alias("b_h"))
+    chosen = rows.join(best, (F.col("print") == F.col("b_print")) & (F.col("h") == F.col("b_h")), "left_semi")
+    return chosen.dropDuplicates(["print", "h"]).select("row.*")
 
 
 def hexadecimal(bits):
