@@ -25,7 +25,7 @@ from fluxloom.llm.wordpieces import encoder
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-AT_ONCE = 256
+AT_ONCE = 1024
 SHARDS = "part long, shard long, tokens long, docs long, content binary"
 
 

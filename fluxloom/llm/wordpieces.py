@@ -10,6 +10,7 @@ memory and changes no result.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from functools import lru_cache
@@ -17,9 +18,11 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-FULL = 400_000
-LINE = 512
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+FULL = 400_000  # words
+FULL_PARTS = 800_000
+LINE = 2048
+#: Every line of lower-cased words: letters and marks, or anything else.
+PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
 WORD_END = "</w>"
 
 
@@ -60,25 +63,17 @@ class WordEncoder:
         return out
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > FULL:
-            self.words.clear()
-        if len(self.parts) > FULL:
+        if len(self.parts) > FULL_PARTS:
             self.parts.clear()
-        plain, other = [], []
-        for word in new:
-            text = word.decode()
-            found = PLAIN.fullmatch(text)
-            if found:
-                plain.append((word, found[1].lower(), found[2]))
-            else:
-                other.append((word, text))
-        letters = list({x[1] for x in plain} - self.parts.keys())
-        self.parts.update(zip(letters, self._letters(letters)))
-        marks = list({x[2] for x in plain} - self.parts.keys())
-        self.parts.update(zip(marks, self._library(marks)))
+        cut = PLAIN.findall(b"\n".join(new).decode().lower())
         parts = self.parts
-        self.words.update((word, parts[a] + parts[b]) for word, a, b in plain)
-        self.words.update(zip([x[0] for x in other], self._library([x[1] for x in other])))
+        letters = list({x[0] for x in cut if x[0]} - parts.keys())
+        parts.update(zip(letters, self._letters(letters)))
+        marks = list({x[1] for x in cut} - parts.keys())
+        parts.update(zip(marks, self._library(marks)))
+        self.words.update([(word, parts[x[0]] + parts[x[1]]) for word, x in zip(new, cut) if x[0]])
+        other = [word for word, x in zip(new, cut) if not x[0]]
+        self.words.update(zip(other, self._library([word.decode() for word in other])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
@@ -88,7 +83,9 @@ class WordEncoder:
             if len(self.words) + len(new) > FULL:
                 self.words.clear()
                 new = distinct
+            gc.disable()  # many short-lived tuples, no cycles
             self._learn(list(new))
+            gc.enable()
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
