@@ -39,7 +39,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 FULL = 400_000
 LINE = 512
-AT_ONCE = 256
+AT_ONCE = 512
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
