@@ -10,7 +10,7 @@ WITH docs AS (
 ), words AS (
     SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
         regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS solid,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM docs
 ), places AS (
     SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3
@@ -124,10 +124,10 @@ FROM replies r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_
 
 ORACLES["op4_exact_topk"] = """
 WITH usable AS (
-    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
     FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0

@@ -192,7 +192,7 @@ class Codec:
         if len(self.parts) > FULL:
             self.parts.clear()
         cut = [unit.split("\n") for unit in new]
-        parts = list({p for unit in cut for p in unit if p} - self.parts.keys())
+        parts = list({p for unit in cut for p in unit if p}.difference(self.parts))
         self.parts.update(zip(parts, self._ids(parts)))
         self.parts[""] = b""
         feed = np.array([self.line_feed], self.kind).tobytes()
@@ -217,7 +217,7 @@ class Codec:
             else:
                 split.append(UNIT.findall(MARK + text.replace(" ", MARK)) if text else [])
         distinct = set().union(*split)
-        new = distinct - self.known.keys()
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > FULL:
             self.known.clear()
             new = distinct

@@ -67,9 +67,9 @@ class WordEncoder:
             self.parts.clear()
         cut = PLAIN.findall(b"\n".join(new).decode().lower())
         parts = self.parts
-        letters = list({x[0] for x in cut if x[0]} - parts.keys())
+        letters = list({x[0] for x in cut if x[0]}.difference(parts))
         parts.update(zip(letters, self._letters(letters)))
-        marks = list({x[1] for x in cut} - parts.keys())
+        marks = list({x[1] for x in cut}.difference(parts))
         parts.update(zip(marks, self._library(marks)))
         self.words.update([(word, parts[x[0]] + parts[x[1]]) for word, x in zip(new, cut) if x[0]])
         other = [word for word, x in zip(new, cut) if not x[0]]
@@ -78,7 +78,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
         distinct = set().union(*split)
-        new = distinct - self.words.keys()
+        new = distinct.difference(self.words)
         if new:
             if len(self.words) + len(new) > FULL:
                 self.words.clear()
