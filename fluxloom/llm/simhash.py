@@ -172,9 +172,10 @@ def classes_of(rows: DataFrame) -> DataFrame:
     linked = roots.join(prints, F.col("node") == F.col("print")).select("node", "root", "first_id")
     named = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = roots.join(named, "root").select("node", "root", "class_id")
-    return prints.join(classes, F.col("print") == F.col("node"), "left").select(
+    known = prints.join(classes, F.col("print") == F.col("node"), "left").select(
         "print", F.coalesce("root", "print").alias("root"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("component_id"))
+    return store(known, "simhash-classes")  # a plain join follows, whose hot fingerprints can be split
 
 
 def printed(docs: DataFrame, carry: list[str], doc_id: str = "doc_id") -> DataFrame:
