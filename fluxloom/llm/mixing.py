@@ -1,17 +1,18 @@
 """Mixing sources to target weights, filled to the word by subset sums.
 
 Sources share ``BUDGET`` times all words by weight, none above ``CAP`` times its own words; the excess is shared
-again by weight. A target of ``k`` whole passes and a rest takes every document ``k`` times, and the rest is a
-subset-sum problem over exact lengths:
+again by weight. A document may be taken ``CAP`` times, and reaching a target is a subset-sum problem over exact lengths:
 
 1. documents are counted by (source, length); only these counts reach the solver, one source per group, so its input
    follows the number of distinct lengths and not the number of documents;
-2. each length gives its proportional share, rounded down, so the mix keeps the source's spread of lengths;
-3. what rounding left over is brought down to ``DP_BUDGET`` words by single documents, longest first, and filled by
-   bounded-knapsack dynamic programming over the documents left: bit sets of reachable sums, whose bound is the
-   parameter;
-4. of each length the wanted number of documents is the first by a seeded hash. Hash ranks are counted per
-   (source, length, hash bucket), so a length shared by a third of all rows is spread over many tasks.
+2. each length gives its proportional share of copies, rounded down, so the mix keeps the source's spread of lengths;
+3. what rounding left over is brought down to ``DP_BUDGET`` words by single copies, longest first, and filled by
+   bounded-knapsack dynamic programming over the copies left: bit sets of reachable sums, whose bound is the
+   parameter. Where a gap of over a thousandth remains, as with a few long documents, it is tried again with a half,
+   a quarter and nothing of the budget given out in proportion, and the nearest result stays;
+4. copies of a length go to its documents in equal numbers, and those that remain to the first by a seeded hash. Hash
+   ranks are counted per (source, length, hash bucket), at most ``BUCKETS`` numbers for a length, so a length shared by
+   a third of all rows is spread over many tasks.
 
 Defined cases: null texts have size 0 and take 0 words; a null source is one source, ordered last; rows equal in id,
 source and text are one unit (their lengths add up) and share one decision; an empty table gives an empty result;
@@ -35,7 +36,7 @@ WEIGHTS = (3, 1, 2)
 SEED = 20
 DP_BUDGET = 1 << 16
 BUCKETS = 4096
-PLAN = "g_source string, unit_words long, wanted long"
+PLAN = "g_source string, unit_words long, each long, more long"
 
 
 @dataclass(frozen=True)
@@ -83,13 +84,26 @@ def source_targets(totals: DataFrame, mix: Mix) -> DataFrame:
 
 
 def fill(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_BUDGET) -> list[int]:
-    """How many documents of each length to take so that their words come as near below ``budget`` as possible.
+    """How many copies of each length to take so that their words come as near below ``budget`` as possible.
 
-    ``lengths`` are distinct and positive, in any order; the sum of lengths times counts is at least ``budget``.
+    ``lengths`` are distinct and positive, in any order; ``counts`` are the copies that may be taken.
     """
+    best: tuple[int, list[int]] | None = None
+    for spread in (budget, budget // 2, budget // 4, 0):
+        taken = _filled(lengths, counts, budget, spread, dp_budget)
+        gap = budget - sum(n * t for n, t in zip(lengths, taken))
+        if best is None or gap < best[0]:
+            best = gap, taken
+        if best[0] <= max(1, budget // 1000):
+            break
+    return best[1]
+
+
+def _filled(lengths: list[int], counts: list[int], budget: int, spread: int, dp_budget: int) -> list[int]:
+    """``spread`` words in proportion, the rest by single copies and dynamic programming."""
     total = sum(n * c for n, c in zip(lengths, counts))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    taken = [counts[i] * budget // total if total else 0 for i in range(len(lengths))]
+    taken = [counts[i] * spread // total if total else 0 for i in range(len(lengths))]
     rest = budget - sum(n * t for n, t in zip(lengths, taken))
     for i in order:
         if rest <= dp_budget:
@@ -120,11 +134,16 @@ def fill(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP
     return taken
 
 
-def _plan(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("unit_words")
-    lengths = [int(x) for x in group["unit_words"]]
-    wanted = fill(lengths, [int(x) for x in group["units"]], int(group["rest"].iloc[0]))
-    return pd.DataFrame({"g_source": group["g_source"], "unit_words": lengths, "wanted": wanted})
+def _planner(cap: int):
+    def plan(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("unit_words")
+        lengths, units = [int(x) for x in group["unit_words"]], [int(x) for x in group["units"]]
+        wanted = fill(lengths, [cap * n for n in units], int(group["budget"].iloc[0]))
+        return pd.DataFrame({
+            "g_source": group["g_source"], "unit_words": lengths, "each": [w // n for w, n in zip(wanted, units)],
+            "more": [w % n for w, n in zip(wanted, units)]})
+
+    return plan
 
 
 def _same(left: str, right: str, *keys: str) -> Column:
@@ -142,24 +161,26 @@ def mixed(docs: DataFrame, carry: list[str], mix: Mix = Mix()) -> DataFrame:
     })
     units = store(units, "mix-units")
     totals = units.groupBy("g_source").agg(F.sum("unit_words").alias("source_words"))
-    passes = F.floor(F.col("target") / F.greatest(F.col("source_words"), F.lit(1))).cast("long")
-    targets = store(source_targets(totals, mix).withColumn("passes", passes).withColumn(
-        "rest", F.round(F.col("target") - F.col("passes") * F.col("source_words")).cast("long")).coalesce(1), "mix-targets")
+    targets = store(source_targets(totals, mix).withColumn("budget", F.round("target").cast("long")).coalesce(1), "mix-targets")
     by_length = units.where("unit_words > 0").groupBy("g_source", "unit_words").agg(F.count(F.lit(1)).alias("units"))
-    problem = by_length.alias("c").join(targets.alias("t"), _same("c", "t", "g_source")).select("c.*", "t.rest")
-    wanted = store(problem.groupBy("g_source").applyInPandas(_plan, PLAN).where("wanted > 0"), "mix-plan")
+    problem = by_length.alias("c").join(targets.alias("t"), _same("c", "t", "g_source")).select("c.*", "t.budget")
+    plan = store(problem.groupBy("g_source").applyInPandas(_planner(mix.cap), PLAN), "mix-plan")
 
     in_bucket = units.where("unit_words > 0").groupBy("g_source", "unit_words", "bucket").agg(F.count(F.lit(1)).alias("here"))
     upto = Window.partitionBy("g_source", "unit_words").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    quota = in_bucket.alias("b").join(wanted.alias("w"), _same("b", "w", "g_source", "unit_words")).select("b.*", "w.wanted")
-    quota = quota.withColumn("left", F.col("wanted") - F.coalesce(F.sum("here").over(upto), F.lit(0))).where("left > 0")
+    quota = in_bucket.alias("b").join(plan.where("more > 0").alias("w"), _same("b", "w", "g_source", "unit_words")).select("b.*", "w.more")
+    quota = quota.withColumn("left", F.col("more") - F.coalesce(F.sum("here").over(upto), F.lit(0))).where("left > 0")
     place = F.row_number().over(Window.partitionBy("u.g_source", "u.unit_words", "u.bucket").orderBy("u.h", "u.words"))
-    chosen = units.alias("u").join(quota.alias("q"), _same("u", "q", "g_source", "unit_words", "bucket")).select(
-        "u.g_source", "u.words", "u.h", "q.left", place.alias("place")).where("place <= left")
-    picked = rows.alias("r").join(chosen.alias("k"), _same("r", "k", "g_source", "words", "h"), "left").select(
-        "r.*", F.col("k.h").isNotNull().cast("long").alias("extra"))
+    chosen = store(units.alias("u").join(quota.alias("q"), _same("u", "q", "g_source", "unit_words", "bucket")).select(
+        "u.g_source", "u.words", "u.h", "q.left", place.alias("place")).where("place <= left"), "mix-chosen")
+    decided = units.alias("u").join(plan.alias("w"), _same("u", "w", "g_source", "unit_words"), "left").join(
+        chosen.alias("k"), _same("u", "k", "g_source", "words", "h"), "left"
+    ).select("u.g_source", "u.words", "u.h",
+             (F.coalesce("w.each", F.lit(0)) + F.col("k.h").isNotNull().cast("long")).alias("copies"))
+    decided = store(decided, "mix-copies")
+    picked = rows.alias("r").join(decided.alias("k"), _same("r", "k", "g_source", "words", "h")).select("r.*", "k.copies")
     return picked.alias("p").join(targets.alias("t"), _same("p", "t", "g_source"), "left").select(
-        "p.row", "p.g_source", "p.words", "t.source_words", "t.target", (F.col("t.passes") + F.col("p.extra")).alias("copies"))
+        "p.row", "p.g_source", "p.words", "t.source_words", "t.target", "p.copies")
 
 
 def materialised(docs: DataFrame, carry: list[str], mix: Mix = Mix()) -> DataFrame:

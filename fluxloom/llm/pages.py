@@ -69,6 +69,7 @@ BAD = frozenset(
     "disqus discussion footer form gdpr header login masthead menu nav navbar navigation newsletter notice pager popup "
     "promo reader readers related reply replies search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe tags toolbar top widget".split())
+UNFINISHED = re.compile(r"</?[A-Za-z!?]")
 TOKEN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -81,6 +82,9 @@ class Page(HTMLParser):
         self.open = [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
+        cut = html.rfind("<")
+        if cut > html.rfind(">") and UNFINISHED.match(html, cut):
+            html = html[:cut]  # the page ends inside a tag
         self.feed(html)
         self.close()
 
