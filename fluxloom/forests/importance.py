@@ -5,11 +5,15 @@ exchanged values come from another row of a block: rows are dealt into blocks of
 few thousand by a hash of their key and put into a random order there, and each
 row takes the next row's values. Blocks are random subsets of the table, so this
 is a random rearrangement of each column without sorting the table in one task.
+
+Errors are averaged per predictor in the same pass as they are made, for ``TREES_AT_ONCE``
+trees at a time, so what is shuffled is a row per predictor and task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
@@ -18,9 +22,11 @@ from pyspark.sql import functions as F
 from fluxloom import schema as S
 from fluxloom.forests.prepare import FEATURES
 from fluxloom.operators.splits import hash_place
+from fluxloom.storage import store
 
 BLOCK_ROWS = 4096
 NONE = "-"
+TREES_AT_ONCE = 50
 
 
 def with_donor(
@@ -63,14 +69,21 @@ def permutation_importance(
     """
     trees = model.stages[-1].trees
     rows = with_donor(df.where(F.col(target).isNotNull()), predictors, keys, seed, block_rows)
-    scored = PipelineModel(stages=model.stages[:-1]).transform(_variants(rows, target, predictors))
-    scored = scored.select("variable", F.col(target).alias("_y"), FEATURES)
-    for number, tree in enumerate(trees):
-        tree.setFeaturesCol(FEATURES).setPredictionCol(f"_t{number}")
-        scored = tree.transform(scored)
-    gaps = [F.col("_y") - F.col(f"_t{number}") for number in range(len(trees))]
-    per_tree = scored.select("variable", F.posexplode(F.array(*[gap * gap for gap in gaps])).alias("tree", "error"))
-    errors = per_tree.groupBy("variable", "tree").agg(F.avg("error").alias("mse"))
+    rows = store(rows, "donors")
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(_variants(rows, target, predictors))
+    prepared = prepared.select("variable", F.col(target).alias("_y"), FEATURES)
+
+    def errors_of(first: int) -> DataFrame:
+        numbers = range(first, min(first + TREES_AT_ONCE, len(trees)))
+        scored = prepared
+        for number in numbers:
+            scored = trees[number].setFeaturesCol(FEATURES).setPredictionCol(f"_t{number}").transform(scored)
+        gaps = {number: F.col("_y") - F.col(f"_t{number}") for number in numbers}
+        means = scored.groupBy("variable").agg(*[F.avg(gap * gap).alias(f"_e{number}") for number, gap in gaps.items()])
+        entries = [F.struct(F.lit(number).alias("tree"), F.col(f"_e{number}").alias("mse")) for number in numbers]
+        return store(means.select("variable", F.inline(F.array(*entries))), "tree_errors")
+
+    errors = reduce(DataFrame.unionByName, [errors_of(first) for first in range(0, len(trees), TREES_AT_ONCE)])
     increases = errors.groupBy("tree").pivot("variable", [NONE, *predictors]).agg(F.first("mse"))
     long = increases.select("tree", *[(F.col(p) - F.col(NONE)).alias(p) for p in predictors]).unpivot(
         ["tree"], list(predictors), "variable", "increase"

@@ -98,19 +98,41 @@ def site_differences(rollup: DataFrame, overall_label: str = "All") -> DataFrame
     return with_overall_copy(long, "IGBP2", overall_label)
 
 
+def group_differences(rollup: DataFrame, overall_label: str = "All") -> DataFrame:
+    """Differences of each land-cover group, and of everything, in long form."""
+    groups = rollup.where(F.col("grain") > 0).withColumn(
+        "IGBP2", F.when(F.col("grain") == 3, overall_label).otherwise(F.col("IGBP2")))
+    return wide_to_long(groups, ["IGBP2"], list(BY_CODE), "model", "rmse")
+
+
+def extreme_points(extremes: DataFrame) -> DataFrame:
+    """The table of extremes in long form: ``extreme, model, rmse``."""
+    return wide_to_long(extremes, ["model"], list(S.EXTREME_NAMES), "extreme", "rmse")
+
+
 def group_site_counts(df: DataFrame) -> DataFrame:
     """Land-cover groups labelled with how many sites they have."""
     sites = df.select("IGBP2", "site").distinct().groupBy("IGBP2").agg(F.count(F.lit(1)).alias("sites"))
     return sites.withColumn("label", group_with_count(F.col("IGBP2"), F.col("sites")))
 
 
-def extreme_thresholds(df: DataFrame, level: float = 0.03, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Per-site low and high percentile of every climate variable, as a stored table."""
-    low, high = level, 1 - level
+def extreme_thresholds_at(
+    df: DataFrame, levels: Sequence[float], rows_per_bucket: int = ROWS_PER_BUCKET
+) -> dict[float, DataFrame]:
+    """Per-site low and high percentile of every climate variable, one stored table per level, from one search."""
     values = {name: F.col(column) for name, column in S.EXTREME_VARIABLES.items()}
-    found = exact_percentiles(df, ["site"], values, [low, high], rows_per_bucket)
-    names = {(name, p): f"{name}_{side}" for name in values for p, side in ((low, "03"), (high, "97"))}
-    return store(spread_percentiles(found, ["site"], names), "thresholds")
+    probabilities = [p for level in levels for p in (level, 1 - level)]
+    found = store(exact_percentiles(df, ["site"], values, probabilities, rows_per_bucket), "site_percentiles")
+    tables = {}
+    for level in levels:
+        names = {(name, p): f"{name}_{side}" for name in values for p, side in ((level, "03"), (1 - level, "97"))}
+        tables[level] = store(spread_percentiles(found, ["site"], names), "thresholds")
+    return tables
+
+
+def extreme_thresholds(df: DataFrame, level: float = 0.03, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The table of one level."""
+    return extreme_thresholds_at(df, [level], rows_per_bucket)[level]
 
 
 def with_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ rows ahead needs no more than a block of the series and the first rows of what
 follows, so the series is cut into blocks of days: almost every row is answered
 inside its block, and only the last rows of each block look across its edge, in a
 second window that sees nothing but the first and last few rows of the blocks.
+
+Rows of one day are put in order by a hash of all their columns: every window sees
+one total order, whatever order the rows arrive in, so none is lost or doubled where
+a block ends within a day.
 """
 
 from __future__ import annotations
@@ -36,20 +40,20 @@ def look_ahead(
     per block.
     """
     block = F.floor(F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) / block_days)
-    in_block = Window.partitionBy(*keys, "_block")
+    in_block, total = Window.partitionBy(*keys, "_block"), [order, "_tie"]
     placed = (
-        df.withColumn("_block", block)
-        .withColumn("_first", F.row_number().over(in_block.orderBy(order)))
+        df.withColumns({"_block": block, "_tie": F.xxhash64(*df.columns)})
+        .withColumn("_first", F.row_number().over(in_block.orderBy(*total)))
         .withColumn("_after", F.count(F.lit(1)).over(in_block) - F.col("_first"))
     )
     reaches_edge = F.col("_after") < rows
-    inner = placed.withColumns(make(in_block.orderBy(order))).where(~reaches_edge)
+    inner = placed.withColumns(make(in_block.orderBy(*total))).where(~reaches_edge)
     edges = (
         placed.where((F.col("_first") <= rows) | reaches_edge)
-        .withColumns(make(Window.partitionBy(*keys).orderBy(order)))
+        .withColumns(make(Window.partitionBy(*keys).orderBy(*total)))
         .where(reaches_edge)
     )
-    return inner.unionByName(edges).drop("_block", "_first", "_after")
+    return inner.unionByName(edges).drop("_block", "_first", "_after", "_tie")
 
 
 def fill_ahead(
@@ -75,17 +79,19 @@ def fill_ahead(
 
 def next_or_last(
     df: DataFrame,
-    column: str,
-    name: str,
+    names: dict[str, str],
     keys: tuple[str, ...] = ("site",),
     order: str = "DATE",
     block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
-    """Next row's value; on the last row of a series its own (that is, the series' last) value."""
+    """Next row's value of each column, under the name given for it; on the last row of a series its own value.
+
+    All columns are answered in one pass.
+    """
 
     def make(window: WindowSpec) -> dict[str, Column]:
         is_last = F.lead(F.lit(1)).over(window).isNull()
-        return {name: F.when(is_last, F.col(column)).otherwise(F.lead(column).over(window))}
+        return {new: F.when(is_last, F.col(old)).otherwise(F.lead(old).over(window)) for old, new in names.items()}
 
     return look_ahead(df, list(keys), order, 1, make, block_days)
 
@@ -97,6 +103,6 @@ def series_last(
 
     An aggregate and a join instead of a window over the whole series.
     """
-    newest = F.max_by(F.struct(F.col(column)), F.col(order))[column]
+    newest = F.max_by(F.struct(F.col(column)), F.struct(F.col(order), F.xxhash64(*df.columns)))[column]
     last = store(df.groupBy(*keys).agg(newest.alias(name)), "series_last")
     return join_null_safe(df, last, list(keys), "left")

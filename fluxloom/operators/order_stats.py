@@ -13,8 +13,8 @@ Each pass is a scan with map-side combining; what is shuffled are counts, and on
 the counts of the last pass go through a window. Step 2 repeats until a kept range
 has few rows or one value, so that window sees a few thousand values per range,
 however big a group is. Every count is exact, and so is the result, whatever the
-distribution; its shape only decides how many rounds are needed (most often one, a
-second one for groups of many millions).
+distribution; its shape only decides how many rounds are needed (none for groups of
+a few thousand rows, most often one, a second one for groups of many millions).
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from fluxloom.storage import store
 
 MAX_BUCKETS = 1 << 16
 ROWS_PER_BUCKET = 256
-MAX_ROUNDS = 8
 ENOUGH = 16  # a kept range of up to this many buckets' rows is ordered without another round
 _LIMIT = 1.7e308
 
@@ -90,12 +89,16 @@ def value_at_rank(
         "ranks",
     )
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
-    for number in range(MAX_ROUNDS):
-        scale, limit = (_linear_scale, ENOUGH * rows_per_bucket) if number else (_log_scale, rows_per_bucket)
-        wide = (F.col("_size") > limit) & (F.col("_lo") < F.col("_hi"))
+    scale, before = _log_scale, None
+    while True:
+        wide = (F.col("_size") > ENOUGH * rows_per_bucket) & (F.col("_lo") < F.col("_hi"))
         ranges = wanted.where(wide).select(*group, "_base", "_size").distinct()
-        if ranges.isEmpty():
+        now = ranges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_lo", "_hi", "_size").cast("decimal(38,0)"))).first()
+        if not now[0]:
             break
+        if now == before:
+            raise ArithmeticError("values of a range are too close to the largest double to be told apart")
+        before = now
         bucket = _bucket(F.col("v"), F.col("_lo"), F.col("_hi"), F.col("_size"), scale, rows_per_bucket)
         counts = (
             join_null_safe(rows, ranges, keys, where=inside)
@@ -108,6 +111,7 @@ def value_at_rank(
             F.col("_start").alias("_base"), F.col("_rows").alias("_size"), "rank",
         )
         wanted = store(wanted.where(~wide).unionByName(narrowed), "ranks")
+        scale = _linear_scale
 
     ranges = wanted.select(*group, "_base").distinct()
     counts = (

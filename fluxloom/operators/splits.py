@@ -3,7 +3,8 @@
 A row's place is decided by the md5 of its key and a seed, so the split does not
 depend on partitioning or on which executor computed it. The share per stratum is
 exact: the cut is the hash at rank ceil(fraction * n), found without sorting a
-stratum, and rows are then only compared with it.
+stratum, and rows are then only compared with it. The hash is compared in two
+halves, the second only among rows whose first half is the cut itself.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from fluxloom.operators.order_stats import ROWS_PER_BUCKET, exact_percentiles, s
 from fluxloom.storage import store
 
 
-def hash_place(keys: list[str], seed: int) -> Column:
-    """Leading 52 bits of the md5 of ``key|key|...|seed`` as a double, exact and order-keeping."""
+def hash_place(keys: list[str], seed: int, start: int = 1) -> Column:
+    """52 bits of the md5 of ``key|key|...|seed``, from hex digit ``start``, as a double, exact and order-keeping."""
     text = F.concat_ws("|", *[F.col(key).cast("string") for key in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+    return F.conv(F.substring(F.md5(text), start, 13), 16, 10).cast("double")
 
 
 def split_stratified(
@@ -34,15 +35,39 @@ def split_stratified(
 
     ``keys`` identify a row. Rows that share a key share a side.
     """
-    place = hash_place(keys, seed)
+    place, rest = hash_place(keys, seed), hash_place(keys, seed, 14)
+    places = store(df.select(*strata, place.alias("v"), rest.alias("_rest")), "places")
     cuts = value_at_rank(
-        store(df.select(*strata, place.alias("v")), "places"),
-        strata,
-        lambda n: F.array(F.ceil(n * F.lit(fraction)).cast("long") - 1),
-        rows_per_bucket,
-    ).select(*strata, F.col("v").alias("_cut"))
-    side = F.when(place <= F.col("_cut"), "train").otherwise("test")
-    return join_null_safe(df, cuts, strata, "left").withColumn("split", side).drop("_cut")
+        places.drop("_rest"), strata, lambda n: F.array(F.ceil(n * F.lit(fraction)).cast("long") - 1), rows_per_bucket
+    ).select(*strata, "rank", F.col("v").alias("_cut"))
+    cuts = _second_cut(places, cuts, strata, rows_per_bucket)
+    before = (place < F.col("_cut")) | ((place == F.col("_cut")) & (rest <= F.col("_cut_rest")))
+    side = F.when(before, "train").otherwise("test")
+    return join_null_safe(df, cuts, strata, "left").withColumn("split", side).drop("_cut", "_cut_rest")
+
+
+def _second_cut(places: DataFrame, cuts: DataFrame, strata: list[str], rows_per_bucket: int) -> DataFrame:
+    """Add ``_cut_rest``: how far the second half of the hash may go among rows whose first half is the cut.
+
+    Where those rows agree in it too, as almost always, it is that value; else the
+    wanted rank is found among them in the same way as the first cut.
+    """
+    near = join_null_safe(places, cuts, strata, where=F.col("v") <= F.col("_cut"))
+    at_cut = F.col("v") == F.col("_cut")
+    ends = store(near.groupBy(*strata, "rank", "_cut").agg(
+        F.count(F.when(~at_cut, 1)).alias("_less"), F.min(F.when(at_cut, F.col("_rest"))).alias("_low"),
+        F.max(F.when(at_cut, F.col("_rest"))).alias("_cut_rest")), "cuts")
+    torn = ends.where(F.col("_low") < F.col("_cut_rest"))
+    if torn.isEmpty():
+        return ends.select(*strata, "_cut", "_cut_rest")
+    group = [*strata, "_left"]
+    wanted = torn.select(*strata, "_cut", (F.col("rank") - F.col("_less")).alias("_left"))
+    tied = join_null_safe(places, wanted, strata, where=at_cut).select(*group, F.col("_rest").alias("v"))
+    found = value_at_rank(
+        store(tied, "ties"), group, lambda n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: k), rows_per_bucket
+    ).where(F.col("rank") == F.col("_left")).select(*strata, F.col("v").alias("_exact"))
+    return join_null_safe(ends, found, strata, "left").select(
+        *strata, "_cut", F.coalesce("_exact", "_cut_rest").alias("_cut_rest"))
 
 
 def target_quartile(df: DataFrame, target: str, name: str = "stratum") -> DataFrame:
@@ -63,15 +88,23 @@ def split_by_target(
 
 
 def save_split(df: DataFrame, keys: list[str], path: str) -> None:
-    """Persist split membership by row key."""
-    df.select(*keys, "split").write.parquet(path)
+    """Persist split membership, one row per key: rows that share a key share a side."""
+    df.select(*keys, "split").distinct().write.parquet(path)
 
 
-def stored_split(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Split membership as a stored table."""
-    return store(df.select(*keys, "split"), "split")
-
+def assign_folds(
+    df: DataFrame, target: str, keys: list[str], folds: int = 3, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add ``fold`` (0-based) for cross-validation, balanced over the quarters of ``target``.
 
-def assign_folds(df: DataFrame, keys: list[str], folds: int = 3, seed: int = 42) -> DataFrame:
-    """Add ``fold`` (0-based) for cross-validation."""
-    return df.withColumn("fold", (hash_place(keys, seed) % folds).cast("int"))
+    In each quarter rows are cut into ``folds`` runs of their hash at exact ranks, so
+    fold sizes differ by one at most (but for rows that share a key).
+    """
+    placed = target_quartile(df, target, "_quarter")
+    place = hash_place(keys, seed)
+    edges = value_at_rank(
+        store(placed.select("_quarter", place.alias("v")), "places"), ["_quarter"],
+        lambda n: F.array(*[F.floor(n * F.lit(k) / F.lit(folds)).cast("long") for k in range(1, folds)]), rows_per_bucket,
+    ).groupBy("_quarter").agg(F.sort_array(F.collect_list("v")).alias("_edges"))
+    fold = F.size(F.filter("_edges", lambda edge: edge <= place))
+    return join_null_safe(placed, store(edges, "fold_edges"), ["_quarter"], "left").withColumn("fold", fold).drop("_quarter", "_edges")

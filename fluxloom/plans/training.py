@@ -17,7 +17,7 @@ from fluxloom.operators.caps import add_capped_targets, best_caps, cap_grid, cap
 from fluxloom.operators.splits import save_split, split_stratified
 from fluxloom.sources.sinks import write_numbered_csv, write_table
 from fluxloom.sources.tables import read_table
-from fluxloom.storage import store
+from fluxloom.storage import scratch, store
 
 KEYS = ["site", "DATE"]
 
@@ -30,6 +30,12 @@ class TrainedTables:
     cap_table: str
     targets: str
     models: str
+    tuning: str
+
+
+def tuning_path(trained: TrainedTables, target: str) -> str:
+    """Where the cross-validated errors of a target are saved."""
+    return f"{trained.tuning}/{target}"
 
 
 def search_caps(
@@ -58,23 +64,28 @@ def train(
     tune: bool = True,
     tree_counts: tuple[int, ...] = (100, 500),
     percentiles: Sequence[float] = S.CAP_PERCENTILES,
+    caps_from: str = "all",
 ) -> TrainedTables:
     """Split, search caps, derive targets, tune mtry and fit every forest size."""
-    paths = TrainedTables(f"{output}/split", f"{output}/max_decision", f"{output}/targets", f"{output}/models")
-    rows = read_table(spark, filtered)
-    save_split(split_stratified(rows, ["site"], KEYS), KEYS, paths.split)
-    split = read_table(spark, paths.split)
-
-    results = search_caps(rows, split, settings, percentiles=percentiles)
-    write_numbered_csv(results, paths.cap_table, ["percentile"])
-    best = caps_as_numbers(best_caps(results).first())
-    write_table(add_capped_targets(rows, best), paths.targets)
-
-    fit_rows = read_table(spark, paths.targets).join(split.where(F.col("split") == "train"), KEYS, "left_semi")
-    mtry = {}
-    if tune:
-        mtry = {target: best_mtry(table).first()["mtry"] for target, table in tune_all(fit_rows, settings).items()}
-    for trees in tree_counts:
-        models = fit_all(fit_rows, mtry, replace(settings, trees=trees))
-        save_models(models, paths.models, trees)
+    paths = TrainedTables(*[f"{output}/{part}" for part in ("split", "max_decision", "targets", "models", "tuning")])
+    with scratch(spark):
+        rows = read_table(spark, filtered)
+        save_split(split_stratified(rows, ["site"], KEYS), KEYS, paths.split)
+        split = read_table(spark, paths.split)
+
+        results = search_caps(rows, split, settings, caps_from, percentiles)
+        write_numbered_csv(results, paths.cap_table, ["percentile"])
+        best = caps_as_numbers(best_caps(results).first())
+        write_table(add_capped_targets(rows, best), paths.targets)
+
+        targets = read_table(spark, paths.targets)
+        fit_rows = store(targets.join(split.where(F.col("split") == "train"), KEYS, "left_semi"), "fit_rows")
+        mtry = {}
+        if tune:
+            for target, table in tune_all(fit_rows, settings).items():
+                write_table(table, tuning_path(paths, target))
+                mtry[target] = best_mtry(read_table(spark, tuning_path(paths, target))).first()["mtry"]
+        for trees in tree_counts:
+            models = fit_all(fit_rows, mtry, replace(settings, trees=trees))
+            save_models(models, paths.models, trees)
     return paths

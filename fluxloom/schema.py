@@ -66,6 +66,7 @@ EXTREME_VARIABLES = {
 }
 EXTREME_NAMES = [f"{name}_{side}" for name in EXTREME_VARIABLES for side in ("03", "97")]
 
+# ---- fixed values: cap percentiles and input files ----
 # Twenty cap percentiles, 99 to 99.95 in steps of 0.05.
 CAP_PERCENTILES = [round(99 + 0.05 * step, 2) for step in range(20)]
 CAP_MIN_ENERGY = 30.0  # W m-2, rows below do not shape a cap
@@ -85,9 +86,9 @@ SATELLITE_FILES = {
         T.StructField("date", T.StringType()),
         T.StructField("name", T.StringType()),
         T.StructField("Fpar", T.DoubleType()),
-        T.StructField("LC_Type1", T.IntegerType()),
     ]),
 }
+LAND_COVER = {"LC_Type1": T.IntegerType()}  # with one of the satellite files
 SITE_METADATA = T.StructType([
     T.StructField("site", T.StringType()),
     T.StructField("IGBP", T.StringType()),

@@ -9,7 +9,7 @@ columns chosen by name.
 from __future__ import annotations
 
 import csv
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 
 from fluxloom import schema as S
 from fluxloom.operators.clean import decode_yyyymmdd, from_date, sentinel_to_null
+from fluxloom.storage import store
 
 READ_OPTIONS = {"header": "true", "nullValue": "NA", "enforceSchema": "false", "mode": "PERMISSIVE"}
 HEADER_THREADS = 32
-MAX_LISTED_SITES = 10_000  # more shared sites than this and every site goes through the merge
 
 
 def list_daily_files(spark: SparkSession, folder: str, mark: str = S.DAILY_FILE_MARK) -> list[str]:
@@ -93,17 +93,23 @@ def read_by_header(
     groups: dict[tuple[str, ...], list[str]],
     types: dict[str, T.DataType],
     extra: dict[str, Column] | None = None,
+    optional: dict[str, T.DataType] | None = None,
 ) -> DataFrame:
     """Read gated files by name, one scan per distinct header; unused columns are not parsed.
 
-    ``extra`` adds columns built from the file metadata.
+    ``extra`` adds columns built from the file metadata. ``optional`` columns are read
+    where a header has them, null in files without, and left out if no header has them.
     """
+    optional = {name: kind for name, kind in (optional or {}).items() if any(name in header for header in groups)}
     added = [column.alias(name) for name, column in (extra or {}).items()]
     frames = [
         spark.read.options(**READ_OPTIONS)
-        .schema(_reader_schema(header, types))
+        .schema(_reader_schema(header, types | optional))
         .csv(paths)
-        .select(*[F.col(f"`{name}`") for name in types], *added)
+        .select(
+            *[F.col(f"`{name}`") for name in types], *added,
+            *[F.col(f"`{n}`") if n in header else F.lit(None).cast(kind).alias(n) for n, kind in optional.items()],
+        )
         for header, paths in groups.items()
         if passes_gate(header, list(types))
     ]
@@ -124,19 +130,19 @@ def merge_identical(df: DataFrame, file_column: str = "_file") -> DataFrame:
     return times.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
-def stack_sites(df: DataFrame, shared_sites: Sequence[str] | None = None, file_column: str = "_file") -> DataFrame:
+def stack_sites(df: DataFrame, files: DataFrame | None = None, file_column: str = "_file") -> DataFrame:
     """Union of the site files with the merge rule for sites that have more than one.
 
-    A site with a single file shares no row with another file, so only the sites in
-    ``shared_sites`` are shuffled; ``None`` means any site may be shared.
+    A site with a single file shares no row with another file, so only sites with more
+    than one entry in ``files`` (``site``, file name) are merged; without it any site
+    may be shared.
     """
-    if shared_sites is None:
+    if files is None:
         return merge_identical(df, file_column)
-    if not shared_sites:
-        return df.drop(file_column)
-    shared = F.col("site").isin(*shared_sites)
-    alone = df.where(~shared | F.col("site").isNull()).drop(file_column)
-    return alone.unionByName(merge_identical(df.where(shared), file_column))
+    per_site = files.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    shared = store(per_site.where(F.col("n") > 1).select("site"), "shared_sites")
+    alone = df.join(shared, "site", "left_anti").select(*df.columns).drop(file_column)
+    return alone.unionByName(merge_identical(df.join(shared, "site", "left_semi").select(*df.columns), file_column))
 
 
 def read_daily_sites(
@@ -158,12 +164,9 @@ def read_daily_sites(
     dated = sentinel_to_null(raw).withColumn("PDATE", decode_yyyymmdd(F.col("TIMESTAMP")))
     if start:
         dated = from_date(dated, start, "PDATE")
-    sources = {(site_of(p, mark), _source_name(p, mark)) for files in groups.values() for p in files}
-    per_site = Counter(site for site, _ in sources)
-    shared = [site for site, files in per_site.items() if files > 1]
-    if len(shared) > MAX_LISTED_SITES:
-        shared = None
-    return stack_sites(dated.select("site", "PDATE", *measured, "_file"), shared)
+    files = sorted({(site_of(p, mark), _source_name(p, mark)) for paths in groups.values() for p in paths})
+    listed = spark.createDataFrame(files, "site string, file string")
+    return stack_sites(dated.select("site", "PDATE", *measured, "_file"), listed)
 
 
 def _source_name(path: str, mark: str) -> str:

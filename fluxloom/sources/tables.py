@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxloom import schema as S
 from fluxloom.functions.guards import nan_to_null
 from fluxloom.operators.clean import satellite_product, scale_fpar
 from fluxloom.sources.daily_files import read_by_header, read_headers
-from pyspark.sql import functions as F
 
 
-def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_named_csv(
+    spark: SparkSession, path: str, schema: T.StructType, optional: dict[str, T.DataType] | None = None
+) -> DataFrame:
     """A CSV file, or a folder of part files, with its columns bound by name."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -25,14 +27,17 @@ def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
         if not name.split("/")[-1].startswith(("_", ".")):
             paths.append(name)
     types = {field.name: field.dataType for field in schema.fields}
-    df = read_by_header(spark, read_headers(spark, sorted(paths)), types)
+    df = read_by_header(spark, read_headers(spark, sorted(paths)), types, optional=optional)
     doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({name: nan_to_null(F.col(name)) for name in doubles})
 
 
 def read_satellite(spark: SparkSession, path: str, product: str) -> DataFrame:
-    """One satellite product keyed by (site, DATE); FPAR comes scaled to 0-1."""
-    raw = read_named_csv(spark, path, S.SATELLITE_FILES[product]).withColumnRenamed("date", "date_text")
+    """One satellite product keyed by (site, DATE); FPAR comes scaled to 0-1.
+
+    The land-cover class may come with any of the products.
+    """
+    raw = read_named_csv(spark, path, S.SATELLITE_FILES[product], S.LAND_COVER).withColumnRenamed("date", "date_text")
     prepared = satellite_product(raw)
     return scale_fpar(prepared) if product == "Fpar" else prepared
 

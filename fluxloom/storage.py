@@ -6,18 +6,22 @@ real size on disk: Spark then broadcasts it only while its files stay below
 ``spark.sql.autoBroadcastJoinThreshold`` and uses a sort-merge join (split by AQE
 where a key is hot) beyond that. No broadcast hint is used anywhere.
 
-Stored tables stay, like checkpoint files, until the cluster's own retention for the
-folder removes them: a lazy result may still read them.
+A lazy result may still read stored tables, so they stay, like checkpoint files. A job
+that writes its outputs wraps its work in ``scratch``, which removes the tables stored
+inside once the block is left.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +40,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables stored in this block when it ends; only what was written elsewhere remains."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        paths, context = _scopes.pop(), spark.sparkContext
+        for path in paths:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -9,9 +9,10 @@ import random
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
-from fluxloom.forests.models import ForestSettings
+from fluxloom.forests.models import ForestSettings, tune_mtry
+from fluxloom.plans import training
 from fluxloom.plans.daily_table import build_daily_table
-from fluxloom.plans.evaluation import evaluate_models, trees_table
+from fluxloom.plans.evaluation import improvements, trees_table, write_evaluation
 from fluxloom.plans.training import train
 
 SITES = {"US-Aaa": "CRO", "US-Bbb": "OSH", "US-Ccc": "ENF", "US-Ddd": "SAV"}
@@ -41,6 +42,8 @@ def write_inputs(folder):
                 out.write(",".join(str(row.get(c, 1)) for c in columns) + "\n")
                 if offset % 3 == 0:
                     products["soil_moisture"].write(f"{day},{site},{wet}\n")
+                if offset % 30 == 0:  # a second value for the day: the join keeps both rows
+                    products["soil_moisture"].write(f"{day},{site},{wet + 0.01}\n")
                 if offset % 4 == 0:
                     products["VegWC"].write(f"{day},{site},{rng.uniform(1, 4)}\n")
                 products["Fpar"].write(f"{day},{site},{wet * 100},{number + 1}\n")
@@ -49,31 +52,40 @@ def write_inputs(folder):
     return os.path.join(folder, "sites"), {name: os.path.join(folder, f"{name}.csv") for name in products}
 
 
-def test_files_to_result_tables(spark, tmp_path):
+def test_files_to_result_tables(spark, tmp_path, monkeypatch):
+    # tune one target over a small grid; the full grids run in the registered queries
+    monkeypatch.setattr(training, "tune_all", lambda rows, settings: {
+        "LE_CORR": tune_mtry(rows, "LE_CORR", S.PREDICTORS_WITH_ENERGY, training.KEYS, grid=[3, 6], settings=settings)})
     folder = str(tmp_path)
     sites, products = write_inputs(folder)
     output = os.path.join(folder, "out")
     filtered = build_daily_table(spark, sites, products, output)
     n = filtered.count()
-    assert 0.7 * DAYS * len(SITES) < n <= DAYS * len(SITES)
+    assert 0.7 * DAYS * len(SITES) < n <= (DAYS + DAYS / 30 + 1) * len(SITES)
     assert filtered.where(F.col("soil_moisture").isNull() | F.col("Fpar").isNull() | (F.col("rha") <= 0)).count() == 0
     assert filtered.agg(F.max("Fpar")).first()[0] <= 1.0
 
     tiny = ForestSettings(trees=3, depth=4, bins=16)
     trained = train(
-        spark, f"{output}/filtered", f"{output}/trained", tiny, tune=False, tree_counts=(2, 4), percentiles=[99.0, 99.9]
+        spark, f"{output}/filtered", f"{output}/trained", tiny, tree_counts=(2, 4), percentiles=[99.0, 99.9], caps_from="train"
     )
-    split = spark.read.parquet(trained.split)
-    assert split.count() == n
+    split, targets = spark.read.parquet(trained.split), spark.read.parquet(trained.targets)
+    assert split.count() == targets.select("site", "DATE").distinct().count() < targets.count() == n
+    assert targets.join(split, ["site", "DATE"]).count() == n
     numbered = spark.read.option("header", "true").csv(trained.cap_table).collect()
     assert sorted(r[0] for r in numbered) == ["1", "2"]
     meta = spark.createDataFrame(list(SITES.items()), "site string, IGBP string")
-    tables = evaluate_models(spark, trained, meta, trees=4, exclude_sites=("US-Ddd",))
+    options = {"trees": 4, "exclude_sites": ("US-Ddd",), "limits": {"stdev_ratio": (-1e9, 1e9)}}
+    paths = write_evaluation(spark, trained, meta, f"{output}/tables", **options)
+    tables = {name: spark.read.parquet(path) for name, path in paths.items()}
     card = {r["models"]: r["rmse"] for r in tables["scorecard"].collect()}
     spread = filtered.agg(F.stddev("LE_CORR")).first()[0]
     assert len(card) == 7 and card["Pure-ML"] < spread
     assert {r["grain"] for r in tables["difference_rollup"].collect()} == {0, 1, 3}
-    assert tables["extremes_3"].count() == 6
+    assert tables["extremes_3"].count() == 6 and tables["extremes_3_points"].count() <= 6 * 16
+    assert {r["model"] for r in tables["extremes_1_boxes"].collect()} <= {f"H{i}" for i in range(1, 7)}
+    assert tables["difference_points"].count() == 6 * 5
+    assert tables["difference_outliers"].columns == tables["site_differences"].columns
     assert {r["label"] for r in tables["group_sites"].collect()} == {
         "CRO (n = 1)", "OSH/CSH (n = 1)", "DBF/ENF (n = 1)", "WET (n = 1)"
     }
@@ -81,3 +93,4 @@ def test_files_to_result_tables(spark, tmp_path):
     assert best["varnames"] in ("AE", "Rg", "SM", "FPAR")
     assert tables["r2_vs_rmse"].first()["n"] == 6
     assert {r["ntree"] for r in trees_table(spark, trained, (2, 4)).collect()} == {2, 4}
+    assert {r["ImprovementType"] for r in improvements(spark, trained, (2, 4)).collect()} == {"a", "b", "c"}

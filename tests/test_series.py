@@ -3,8 +3,11 @@ from __future__ import annotations
 import datetime
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from fluxloom.operators import splits
 from fluxloom.operators.lookahead import fill_ahead, next_or_last, series_last
 from fluxloom.operators.splits import assign_folds, split_by_target, split_stratified
 
@@ -47,7 +50,7 @@ def test_fill_equals_four_passes(spark, block_days):
 def test_next_or_last(spark, block_days):
     rows = series(8)
     df = spark.createDataFrame(rows, "site string, DATE date, x double, k int")
-    led = series_last(next_or_last(df, "x", "ahead", block_days=block_days), "x", "final")
+    led = series_last(next_or_last(df, {"x": "ahead"}, block_days=block_days), "x", "final")
     got = {(r["site"], r["DATE"]): r for r in led.collect()}
     for site in ("A", "B"):
         own = [r for r in rows if r[0] == site]
@@ -77,7 +80,30 @@ def test_split_by_target_covers_every_quarter(spark):
     assert 0.75 <= share < 0.76
 
 
-def test_folds_partition_the_rows(spark):
-    folds = [r["fold"] for r in assign_folds(keyed(spark), ["site", "k"]).collect()]
-    assert len(folds) == 908 and set(folds) == {0, 1, 2}
-    assert min(folds.count(f) for f in (0, 1, 2)) > 240
+def test_folds_are_balanced_over_the_target(spark):
+    rows = assign_folds(keyed(spark), "y", ["site", "k"], rows_per_bucket=16).collect()
+    assert len(rows) == 908 and {r["fold"] for r in rows} == {0, 1, 2}
+    edges = np.percentile([r["y"] for r in rows], [25, 50, 75])
+    for quarter in range(4):
+        sizes = [sum(int((r["y"] > edges).sum()) == quarter and r["fold"] == f for r in rows) for f in range(3)]
+        assert max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("block_days", [1, 2, 5])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_of_one_day_are_neither_lost_nor_doubled(spark, block_days, parts):
+    start = datetime.date(2000, 1, 1)
+    rows = [("A", start + datetime.timedelta(days=i // 4), float(i) if i % 5 else None, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "site string, DATE date, x double, k int").repartition(parts)
+    filled = fill_ahead(df, ["x"], block_days=block_days).collect()
+    assert sorted(r["k"] for r in filled) == list(range(120))
+    again = fill_ahead(df.repartition(3, "k"), ["x"], block_days=block_days).collect()
+    assert sorted((r["k"], r["x"]) for r in filled) == sorted((r["k"], r["x"]) for r in again)
+
+
+def test_rows_whose_first_hash_half_ties_are_still_cut_exactly(spark, monkeypatch):
+    whole = splits.hash_place
+    monkeypatch.setattr(splits, "hash_place", lambda keys, seed, start=1: F.lit(1.0) if start == 1 else whole(keys, seed, start))
+    split = split_stratified(keyed(spark), ["site"], ["site", "k"], rows_per_bucket=16)
+    counts = {(r["site"], r["split"]): r["count"] for r in split.groupBy("site", "split").count().collect()}
+    assert counts == {("hot", "train"): 675, ("hot", "test"): 225, ("cold", "train"): 6, ("cold", "test"): 1, ("one", "train"): 1}
