@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from fluxloom import schema as S
-from fluxloom.functions.hybrid import BY_CODE, HYBRIDS, MODELS
+from fluxloom.functions.hybrid import BY_CODE, HYBRIDS, MODELS, PURE
 from fluxloom.operators.caps import RATIO_TARGETS
 from fluxloom.functions.labels import MODEL_MARKUP
-from fluxloom.workbench.queries import BROKEN_REGION, CARD_COLUMNS, PHYSICS_COLUMNS, START
+from fluxloom.workbench.queries import BROKEN_REGION, CARD_COLUMNS, LIMITS, PHYSICS_COLUMNS, START
 from fluxloom.workbench.views import FILLED, METADATA_SQL, r6, split_sql, with_sql
 
 ORACLES: dict[str, str] = {}
@@ -56,7 +56,7 @@ ORACLES["scan_satellite"] = with_sql("sat", " UNION ALL ".join(
     f"FROM sat WHERE {c} IS NOT NULL GROUP BY site" for c in FILLED
 ))
 ORACLES["scan_parquet"] = with_sql(
-    "analysed", f"SELECT site, obs_date, LE_CORR, {r6('PET_PM')} FROM analysed WHERE year(obs_date) >= 1998"
+    "analysed", f"SELECT site, obs_date, LE_CORR, {r6('PET_PM')} FROM analysed"
 )
 ORACLES["sink_roundtrip"] = with_sql("clean", "SELECT site, obs_date, USTAR, P_F FROM clean")
 ORACLES["numbered_rows"] = with_sql(
@@ -257,9 +257,9 @@ _CAP_ERRORS = ", ".join(
 )
 _IMPUTED = "coalesce(Gs_cor_raw, CASE WHEN LE_CORR <= 0 THEN PMgs_min WHEN LE_CORR > 0 THEN PMgs_max END)"
 ORACLES["best_cap"] = with_sql("analysed", f"""
-SELECT {', '.join(r6(f'min_by({n}_max, (100 * {n}_rmse, percentile))', f'{n}_max_best') for n in RATIO_TARGETS)},
-       {r6('min_by(PMgs_max, (100 * PMgs_rmse, percentile))', 'PMgs_max_best')},
-       {r6('min_by(PMgs_min, (100 * PMgs_rmse, percentile))', 'PMgs_min_best')}
+SELECT {', '.join(r6(f'min_by({n}_max, ({n}_rmse, percentile))', f'{n}_max_best') for n in RATIO_TARGETS)},
+       {r6('min_by(PMgs_max, (PMgs_rmse, percentile))', 'PMgs_max_best')},
+       {r6('min_by(PMgs_min, (PMgs_rmse, percentile))', 'PMgs_min_best')}
 FROM errors""", _GRID, _CAPS, f"""
 errors AS (
   SELECT percentile, PT_max, Penman_max, PMKc_max, PMgs_max, PMgs_min, {_CAP_ERRORS},
@@ -282,7 +282,11 @@ ORACLES["rmse_diff_rollup"] = with_sql(
     "classed", f"SELECT IGBP2, site, grain, {_columns(*BY_CODE)} FROM rollup_table", _ROLLUP
 )
 ORACLES["unpivot_models"] = with_sql("classed", " UNION ALL ".join(
-    f"SELECT IGBP2, '{code}' AS model, {r6(code, 'rmse')} FROM rollup_table WHERE grain = 1" for code in BY_CODE
+    f"SELECT IGBP2, site, grain, '{code}' AS model, {r6(code, 'rmse')} FROM rollup_table" for code in BY_CODE
+), _ROLLUP)
+ORACLES["difference_points"] = with_sql("classed", " UNION ALL ".join(
+    f"SELECT CASE grain WHEN 3 THEN 'All' ELSE IGBP2 END AS IGBP2, '{code}' AS model, {r6(code, 'rmse')} FROM rollup_table WHERE grain > 0"
+    for code in BY_CODE
 ), _ROLLUP)
 _DIFFERENCES = "\ndifferences AS (" + " UNION ALL ".join(
     f"SELECT {group} AS IGBP2, site, '{code}' AS model, {r6(code, 'rmse')} FROM rollup_table WHERE grain = 0"
@@ -336,7 +340,7 @@ SELECT a.site, obs_date, {_columns(*S.EXTREME_NAMES)} FROM analysed a LEFT JOIN
     _thresholds(0.03, "analysed"))
 
 
-def _extreme_sql(level: float) -> str:
+def _extreme_sql(level: float, exact: bool = False) -> str:
     tests = {}
     for name, column in S.EXTREME_VARIABLES.items():
         tests[f"{name}_03"] = f"{column} < {name}_03"
@@ -347,7 +351,7 @@ def _extreme_sql(level: float) -> str:
             r6(
                 f"sqrt(avg((LE_CORR - {model.estimate}) * (LE_CORR - {model.estimate})) FILTER ({test}))"
                 f" - sqrt(avg((LE_CORR - LE_CORR_RF) * (LE_CORR - LE_CORR_RF)) FILTER ({test}))",
-                name,
+                name, 15 if exact else 6,
             )
             for name, test in tests.items()
         )
@@ -361,6 +365,28 @@ extreme_rows AS (
 
 ORACLES["extreme_eval"] = _extreme_sql(0.03)
 ORACLES["extreme_eval_1pct"] = _extreme_sql(0.01)
+ORACLES["model_corr_limits"] = with_sql("parted", f"""
+SELECT n, {r6('r')}, {r6('t')}
+FROM (SELECT n, r, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (
+      SELECT corr(partial_stdev, rmse) AS r, count(*) AS n FROM card
+      WHERE partial_stdev BETWEEN {LIMITS['partial_stdev'][0]} AND {LIMITS['partial_stdev'][1]}
+        AND rmse BETWEEN {LIMITS['rmse'][0]} AND {LIMITS['rmse'][1]}))""", _TEST, _long("test"), _CARD)
+
+
+def _boxes_sql(level: float) -> str:
+    return f"""
+SELECT {level}::DOUBLE AS level, model, count(*) AS n, count(*) FILTER (NOT inside) AS outliers,
+       {r6('min(rmse) FILTER (inside)', 'ymin')}, {', '.join(r6(c) for c in ('lower', 'middle', 'upper'))},
+       {r6('max(rmse) FILTER (inside)', 'ymax')}
+FROM (SELECT *, rmse BETWEEN lower - 1.5 * (upper - lower) AND upper + 1.5 * (upper - lower) AS inside FROM (
+      SELECT *, quantile_cont(rmse, 0.25) OVER m AS lower, quantile_cont(rmse, 0.5) OVER m AS middle,
+             quantile_cont(rmse, 0.75) OVER m AS upper
+      FROM (UNPIVOT ({_extreme_sql(level, exact=True)}) ON {', '.join(S.EXTREME_NAMES)} INTO NAME extreme VALUE rmse)
+      WINDOW m AS (PARTITION BY model)))
+GROUP BY model, lower, middle, upper"""
+
+
+ORACLES["extreme_boxes"] = " UNION ALL ".join(f"SELECT * FROM ({_boxes_sql(level)})" for level in (0.01, 0.03))
 ORACLES["median_impute"] = with_sql("sat", f"""
 SELECT site, obs_date, {', '.join(r6(f'coalesce({c}, {c}_median)', f'{c}_filled') for c in FILLED)}
 FROM parted CROSS JOIN medians""", split_sql("parted", "sat"), f"""
@@ -383,3 +409,54 @@ errors AS (
          round({_damped(_FRH, 1.0)}, 6) AS h100,
          round({_damped('LE_CORR_RF', 0.5 + 0.1 * 3)}, 6) AS mtry3, round(least({_MTRY}), 6) AS least_mtry
   FROM parted WHERE split = 'train')""")
+
+# ---------------------------------------------------------------- forests
+
+
+def _predictors(model) -> list[str]:
+    return S.PREDICTORS_WITH_ENERGY if model is PURE else S.PREDICTORS
+
+
+_TARGETS = [m.target for m in MODELS]
+ORACLES["rf_fit"] = with_sql("parted", " UNION ALL ".join(f"""
+SELECT '{m.name}' AS models, '{m.target}' AS target, count({m.target}) FILTER (split = 'train') AS n_train,
+       count(*) FILTER (split = 'test') AS n_test, {r6(f"stddev_pop({m.target}) FILTER (split = 'train')", 'spread')},
+       true AS learns, true AS complete, true AS same_when_loaded
+FROM parted""" for m in MODELS))
+ORACLES["rf_predict"] = with_sql("parted", f"""
+SELECT site, obs_date, split, LE_CORR, true AS learnt, true AS physics_PT, true AS physics_Penman, true AS physics_PMkc
+FROM parted""")
+ORACLES["fold_sizes"] = with_sql("parted", """
+SELECT quarter, fold, ((n * (fold + 1)) // 3 - (n * fold) // 3)::BIGINT AS n FROM (
+  SELECT 1 + (LE_CORR > a)::INT + (LE_CORR > b)::INT + (LE_CORR > c)::INT AS quarter, count(*) AS n
+  FROM parted, (SELECT quantile_cont(LE_CORR, 0.25) AS a, quantile_cont(LE_CORR, 0.5) AS b, quantile_cont(LE_CORR, 0.75) AS c
+                FROM parted WHERE split = 'train')
+  WHERE split = 'train' GROUP BY 1), (SELECT unnest([0, 1, 2]) AS fold)""")
+ORACLES["rf_cv_mtry"] = " UNION ALL ".join(
+    f"SELECT '{m.target}' AS target, unnest(range(1, {len(_predictors(m)) + 1}))::INT AS mtry, true AS scored" for m in MODELS
+)
+ORACLES["best_mtry"] = with_sql("parted", """
+SELECT 'made' AS target, min_by(mtry, (rmse, mtry)) AS mtry, min(rmse) AS rmse, true AS least FROM made
+UNION ALL """ + " UNION ALL ".join(f"SELECT '{t}', NULL, NULL, true" for t in _TARGETS), f"""
+made AS (""" + " UNION ALL ".join(
+    f"SELECT {m} AS mtry, round({_damped('LE_CORR_RF', 0.5 + 0.1 * abs(m - 6))}, 6) AS rmse FROM parted WHERE split = 'train'"
+    for m in range(1, 10)) + ")")
+ORACLES["cap_sweep"] = (
+    f"SELECT row_number() OVER (ORDER BY percentile) AS \"row\", *, true AS scored FROM ({ORACLES['cap_grid']})"
+)
+ORACLES["rmse_by_ntree"] = (
+    f"SELECT unnest([100, 500])::INT AS ntree, {', '.join(f'true AS {m.short}' for m in MODELS)}, true AS learns"
+)
+ORACLES["permutation_importance"] = " UNION ALL ".join(
+    f"SELECT '{m.target}' AS target, unnest({_predictors(m)!r}) AS variable, true AS measured" for m in MODELS
+)
+_LABELS = ", ".join(f"('{v}', '{n}', '{c}')" for v, (n, c) in S.PREDICTOR_LABELS.items())
+ORACLES["importance_ranked"] = with_sql("parted", f"""
+SELECT 'made' AS target, variable, varnames, category, row_number() OVER (ORDER BY Overall DESC, varnames)::INT AS place
+FROM made JOIN labels USING (variable)
+UNION ALL """ + " UNION ALL ".join(
+    f"SELECT '{m.target}', variable, varnames, category, NULL FROM labels WHERE variable IN ({', '.join(map(repr, _predictors(m)))})"
+    for m in MODELS), f"""
+labels(variable, varnames, category) AS (VALUES {_LABELS})""", """
+made AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, round(avg({c}), 6) AS Overall FROM parted WHERE split = 'train'" for c in S.PREDICTORS_WITH_ENERGY) + ")")

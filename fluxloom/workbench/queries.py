@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +24,10 @@ from fluxloom.operators import joins as J
 from fluxloom.operators import reshape as R
 from fluxloom.operators.boxplot import boxplot_outliers, boxplot_stats
 from fluxloom.operators.lookahead import fill_ahead, next_or_last, series_last
-from fluxloom.operators.splits import save_split, split_by_target
+from fluxloom.operators.splits import assign_folds, save_split, split_by_target, target_quartile
 from fluxloom.sources import daily_files as D
 from fluxloom.sources import sinks
-from fluxloom.sources.tables import load_model, read_satellite, read_site_metadata, read_table
+from fluxloom.sources.tables import read_satellite, read_site_metadata, read_table
 from fluxloom.storage import fresh_path, store
 from fluxloom.workbench import views as V
 
@@ -35,8 +36,9 @@ REGISTRY: dict[str, Query] = {}
 KEYS = V.KEYS
 START = "1995-04-01"
 
-# Registered forests are kept small; the defaults of the library are the reference sizes.
-SMALL = M.ForestSettings(trees=10, depth=5, bins=32)
+# Registered forests are shallow; numbers of trees, grids and targets are the full ones, and so are the library's defaults.
+DEPTH, BINS = 3, 16
+LIMITS = {"partial_stdev": (12.0, 47.0), "rmse": (5.0, 14.0)}  # plot limits of model_corr_limits
 BROKEN_REGION = 2  # sites of this region deliver files that lack a required column
 
 
@@ -161,7 +163,7 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered table stored, then read back with a pruned projection."""
     path = fresh_path(spark, "filtered")
     sinks.write_table(K.date_parts(V.analysed(spark, sf_dir), "obs_date"), path, partition_by=["YEAR"])
-    back = read_table(spark, path).where(F.col("YEAR") >= 1998)
+    back = read_table(spark, path)
     return _rounded(back, "PET_PM", keep=[*KEYS, "LE_CORR"])
 
 
@@ -431,8 +433,7 @@ def gap_fill_nocb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lead_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next value with the series' last value as default, and that last value itself."""
     rows = V.satellite(V.clean(spark, sf_dir)).select(*KEYS, "soil_moisture", "k")
-    led = next_or_last(rows, "k", "next_k", order="obs_date")
-    led = next_or_last(led, "soil_moisture", "next_sm", order="obs_date")
+    led = next_or_last(rows, {"k": "next_k", "soil_moisture": "next_sm"}, order="obs_date")
     return _rounded(series_last(led, "k", "last_k", order="obs_date"), "next_sm", keep=[*KEYS, "next_k", "last_k"])
 
 
@@ -517,8 +518,17 @@ def rmse_diff_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unpivot_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = E.rmse_difference_rollup(V.classed(spark, sf_dir)).where(F.col("grain") == 1)
-    return _rounded(R.wide_to_long(table, ["IGBP2"], list(BY_CODE), "model", "rmse"), "rmse", keep=["IGBP2", "model"])
+    """All three grains in long form."""
+    table = E.rmse_difference_rollup(V.classed(spark, sf_dir))
+    keys = ["IGBP2", "site", "grain"]
+    return _rounded(R.wide_to_long(table, keys, list(BY_CODE), "model", "rmse"), "rmse", keep=[*keys, "model"])
+
+
+@query
+def difference_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of the overall and the group grain, as drawn over the boxes of the sites."""
+    rollup = store(E.rmse_difference_rollup(V.classed(spark, sf_dir)), "rollup")
+    return _rounded(E.group_differences(rollup), "rmse", keep=["IGBP2", "model"])
 
 
 @query
@@ -599,6 +609,26 @@ def _extremes(level: float) -> Query:
 REGISTRY |= {"extreme_eval": _extremes(0.03), "extreme_eval_1pct": _extremes(0.01)}
 
 
+@query
+def extreme_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes per model over the sixteen extremes, at both levels, with the thresholds from one search."""
+    rows = V.scored_split(spark, sf_dir)
+    test, boxes = rows.where(F.col("split") == "test"), []
+    for level, thresholds in E.extreme_thresholds_at(rows, [0.01, 0.03]).items():
+        points = store(E.extreme_points(E.extreme_errors(test, thresholds, ["S7"])), "extreme_points")
+        boxes.append(boxplot_stats(points, ["model"], "rmse").withColumn("level", F.lit(level)))
+    columns = ["ymin", "lower", "middle", "upper", "ymax"]
+    return _rounded(boxes[0].unionByName(boxes[1]), *columns, keep=["level", "model", "n", "outliers"])
+
+
+@query
+def model_corr_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of sensitivity and error over the models inside plot limits."""
+    test = V.scored_split(spark, sf_dir).where(F.col("split") == "test")
+    found = E.correlation_test(E.scorecard(test), "partial_stdev", "rmse", x_range=LIMITS["partial_stdev"], y_range=LIMITS["rmse"])
+    return _rounded(found, "r", "t", keep=["n"])
+
+
 @query
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of three predictors filled with medians of the training rows."""
@@ -607,7 +637,7 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model.transform(rows), *[f"{c}_filled" for c in V.FILLED])
 
 
-# ---------------------------------------------------------------- forests (no SQL equivalent)
+# ---------------------------------------------------------------- forests: what SQL can derive, beside what a fit must earn
 
 
 def _forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -623,55 +653,124 @@ def _part(rows: DataFrame, part: str) -> DataFrame:
     return rows.where(F.col("split") == part)
 
 
+def _forests(trees: int) -> M.ForestSettings:
+    return M.ForestSettings(trees=trees, depth=DEPTH, bins=BINS)
+
+
+def _sound(value: Column) -> Column:
+    """A finite number."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+
+
 @query
 def rf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted forest, saved, loaded and applied to the held-out rows: error against a constant guess."""
-    rows = _forest_rows(spark, sf_dir)
-    model = BY_NAME["H-PT"]
-    fitted = M.fit_forest(_part(rows, "train"), model.target, S.PREDICTORS, M.DEFAULT_MTRY, SMALL)
-    folder = fresh_path(spark, "model")
-    M.save_models({model.target: fitted}, folder, SMALL.trees)
-    loaded = load_model(M.model_path(folder, model.target, SMALL.trees))
-    target = F.col(model.target)
-    return M.predict(loaded, _part(rows, "test")).agg(
-        stats.rmse(target, F.col(model.learned)).alias("rmse"),
-        F.stddev_pop(target).alias("spread"), F.count(F.lit(1)).alias("n"),
-    )
+    """Seven forests, saved, loaded and applied: row counts and spread, and what the fits must earn."""
+    rows = store(_forest_rows(spark, sf_dir), "forest_rows")
+    fitted = M.fit_all(_part(rows, "train"), settings=_forests(100), parallelism=4)
+    folder = fresh_path(spark, "models")
+    M.save_models(fitted, folder, 100)
+    loaded = M.load_models(folder, 100)
+    parts = []
+    for m in MODELS:
+        target, learnt = F.col(m.target), F.col(m.learned)
+        applied = M.predict(loaded[m.target], M.predict(fitted[m.target], rows).withColumnRenamed(m.learned, "_before"))
+        train, test = F.col("split") == "train", F.col("split") == "test"
+        parts.append(applied.agg(
+            F.count(F.when(train, target)).alias("n_train"), F.count(F.when(test, F.lit(1))).alias("n_test"),
+            F.round(F.stddev_pop(F.when(train, target)), 6).alias("spread"),
+            F.sqrt(F.avg(F.when(train, (target - learnt) * (target - learnt)))).alias("_error"),
+            F.stddev_pop(F.when(train, target)).alias("_spread"),
+            (F.count_if(learnt.isNull()) == 0).alias("complete"), (F.count_if(learnt != F.col("_before")) == 0).alias("same_when_loaded"),
+        ).select(F.lit(m.name).alias("models"), F.lit(m.target).alias("target"), "n_train", "n_test", "spread",
+                 (F.col("_error") < F.col("_spread")).alias("learns"), "complete", "same_when_loaded"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven forests applied to every row, and the flux of each model."""
-    rows = _forest_rows(spark, sf_dir)
-    scored = M.predict_all(M.fit_all(_part(rows, "train"), settings=SMALL, parallelism=4), rows)
-    return scored.select(*KEYS, "split", "LE_CORR", *[m.estimate for m in MODELS])
+    """Seven forests applied to every row: each flux is the physics of its learnt parameter."""
+    rows = store(_forest_rows(spark, sf_dir), "forest_rows")
+    scored = M.predict_all(M.fit_all(_part(rows, "train"), settings=_forests(100), parallelism=4), rows)
+    def near(a: Column, b: Column) -> Column:
+        return F.abs(a - b) <= F.lit(1e-9) * (1 + F.abs(b))
+
+    return scored.select(
+        *KEYS, "split", "LE_CORR",
+        reduce(lambda a, b: a & b, [F.col(m.learned).isNotNull() for m in MODELS]).alias("learnt"),
+        near(F.col("LE_CORR_hybrid_PT"), F.col("PT_stress_cor_RF") * F.col("PET_PT")).alias("physics_PT"),
+        near(F.col("LE_CORR_hybrid_Penman"), F.col("Penman_stress_cor_RF") * F.col("PET_Penman")).alias("physics_Penman"),
+        near(F.col("LE_CORR_hybrid_PMkc"), F.col("PM_stress_cor_RF") * F.col("PET_PM")).alias("physics_PMkc"))
+
+
+@query
+def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per quarter of the flux and cross-validation fold."""
+    rows = store(_forest_rows(spark, sf_dir).select(*KEYS, "split", "LE_CORR"), "fold_rows")
+    train = _part(rows, "train")
+    folded = target_quartile(assign_folds(train, "LE_CORR", KEYS), "LE_CORR", "quarter")
+    return folded.groupBy("quarter", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tuned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Cross-validated errors of every mtry of every target."""
+    train = store(_part(_forest_rows(spark, sf_dir), "train"), "tune_rows")
+    return {m.target: M.tune_mtry(train, m.target, M.predictors_of(m), KEYS, settings=_forests(100)) for m in MODELS}
 
 
 @query
 def rf_cv_mtry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _part(_forest_rows(spark, sf_dir), "train")
-    return M.tune_mtry(rows, "LE_CORR", S.PREDICTORS_WITH_ENERGY, KEYS, grid=[1, 3, 6], settings=SMALL)
+    return reduce(DataFrame.unionByName, [
+        table.select(F.lit(target).alias("target"), "mtry", (_sound(F.col("rmse")) & (F.col("rmse") > 0)).alias("scored"))
+        for target, table in _tuned(spark, sf_dir).items()
+    ])
+
+
+def _made_mtry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error per mtry from damped residuals, for checking the choice by SQL."""
+    rows = _part(V.scored_split(spark, sf_dir), "train")
+    observed, guess = F.col("LE_CORR"), F.col("LE_CORR_RF")
+    sums = [F.round(stats.rmse(observed, observed + (guess - observed) * (0.5 + 0.1 * abs(m - 6))), 6).alias(f"m{m}") for m in range(1, 10)]
+    return store(rows.agg(*sums), "mtry_row").select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("mtry"), F.col(f"m{m}").alias("rmse")) for m in range(1, 10)])))
 
 
 @query
 def best_mtry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.best_mtry(rf_cv_mtry(spark, sf_dir))
+    """The choice over a made table of errors, and over those of the fits."""
+    made = M.best_mtry(_made_mtry(spark, sf_dir)).select(F.lit("made").alias("target"), "mtry", "rmse", F.lit(True).alias("least"))
+    parts = [made]
+    for target, table in _tuned(spark, sf_dir).items():
+        table = store(table, "tuned")
+        best = M.best_mtry(table).select(F.col("mtry").alias("_mtry"), F.col("rmse").alias("_rmse"))
+        checked = table.crossJoin(best).agg((  # one row on the right
+            (F.min("rmse") == F.first("_rmse")) & (F.min(F.when(F.col("rmse") == F.col("_rmse"), F.col("mtry"))) == F.first("_mtry"))
+        ).alias("least"))
+        parts.append(checked.select(
+            F.lit(target).alias("target"), F.lit(None).cast("int").alias("mtry"), F.lit(None).cast("double").alias("rmse"), "least"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def cap_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest per parameter and cap, for three caps."""
-    rows = _forest_rows(spark, sf_dir)
-    grid = C.cap_grid(rows, [99.0, 99.5, 99.95])
-    return sinks.number_rows(M.sweep_caps(_part(rows, "train"), grid, KEYS, SMALL), ["percentile"])
+    """A forest per parameter and cap, for all twenty caps."""
+    rows = store(_forest_rows(spark, sf_dir), "forest_rows")
+    swept = M.sweep_caps(_part(rows, "train"), C.cap_grid(rows), KEYS, _forests(100))
+    errors = [F.col(f"{name}_rmse") for name in (*C.RATIO_TARGETS, C.CONDUCTANCE)]
+    scored = reduce(lambda a, b: a & b, [_sound(e) & (e > 0) for e in errors])
+    caps = ["PT_max", "Penman_max", "PMKc_max", "PMgs_max", "PMgs_min"]
+    numbered = sinks.number_rows(swept.withColumn("scored", scored).drop(*[f"{n}_rmse" for n in (*C.RATIO_TARGETS, C.CONDUCTANCE)]), ["percentile"])
+    return _rounded(numbered, *caps, keep=["row", "percentile", "scored"])
 
 
 @query
 def rmse_by_ntree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training-set error of the seven models for two forest sizes."""
-    rows = _part(_forest_rows(spark, sf_dir), "train")
-    sizes = [M.ForestSettings(trees=trees, depth=4, bins=32) for trees in (4, 12)]
-    return M.rmse_by_trees(rows, {s.trees: M.fit_all(rows, settings=s, parallelism=4) for s in sizes})
+    """Training-set error of the seven models for forests of 100 and 500 trees."""
+    rows = store(_part(_forest_rows(spark, sf_dir), "train"), "forest_rows")
+    table = M.rmse_by_trees(rows, {trees: M.fit_all(rows, settings=_forests(trees), parallelism=4) for trees in (100, 500)})
+    spread = rows.agg(F.stddev_pop("LE_CORR")).first()[0]
+    return table.select(
+        "ntree", *[(_sound(F.col(m.short)) & (F.col(m.short) > 0)).alias(m.short) for m in MODELS],
+        (F.col("Pure_ML") < spread).alias("learns"))
 
 
 @query
@@ -699,17 +798,36 @@ def rmse_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.improvement_table(by_trees, by_mtry), "ImprovementValue", keep=["ImprovementType"])
 
 
-def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _forest_rows(spark, sf_dir)
-    fitted = M.fit_forest(_part(rows, "train"), "LE_CORR", S.PREDICTORS_WITH_ENERGY, M.TUNED_MTRY["LE_CORR"], SMALL)
-    return I.permutation_importance(fitted, _part(rows, "test"), "LE_CORR", S.PREDICTORS_WITH_ENERGY, KEYS)
+def _importance(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Importance of every predictor in each of the seven models."""
+    rows = store(_forest_rows(spark, sf_dir), "forest_rows")
+    fitted = M.fit_all(_part(rows, "train"), settings=_forests(100), parallelism=4)
+    test = _part(rows, "test")
+    return {
+        m.target: store(I.permutation_importance(fitted[m.target], test, m.target, M.predictors_of(m), KEYS), "importance")
+        for m in MODELS
+    }
 
 
 @query
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _importance(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [
+        table.select(F.lit(target).alias("target"), "variable", _sound(F.col("increase")).alias("measured"))
+        for target, table in _importance(spark, sf_dir).items()
+    ])
 
 
 @query
 def importance_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.label_importance(store(_importance(spark, sf_dir), "importance"))
+    """Labels and ranks over a made table of importances, and over those of the fits (where ranks must be complete)."""
+    rows = _part(V.scored_split(spark, sf_dir), "train")
+    means = store(rows.agg(*[F.round(F.avg(c), 6).alias(c) for c in S.PREDICTORS_WITH_ENERGY]), "means")
+    made = means.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).alias("Overall")) for c in S.PREDICTORS_WITH_ENERGY])))
+    parts = [I.label_importance(made).select(F.lit("made").alias("target"), "variable", "varnames", "category", "place")]
+    for target, table in _importance(spark, sf_dir).items():
+        ranked = store(I.label_importance(table), "ranked")
+        whole = ranked.agg(F.sort_array(F.collect_list("place")).alias("p")).first()["p"] == list(range(1, ranked.count() + 1))
+        parts.append(ranked.select(
+            F.lit(target).alias("target"), "variable", "varnames", "category", F.lit(None if whole else -1).cast("int").alias("place")))
+    return reduce(DataFrame.unionByName, parts)

@@ -333,11 +333,16 @@ def with_sql(upto: str, select: str, *extra: str) -> str:
     return "WITH" + ",".join([*parts, *extra]) + "\n" + select
 
 
-def r6(expression: str, name: str | None = None, digits: int = 6) -> str:
-    """SQL: rounded to six decimals, without a negative zero."""
-    return f"round({expression}, {digits}) + CAST(0 AS DOUBLE) AS {name or expression}"
+#: Columns of small numbers are compared to more decimals, so that about nine digits count.
+DIGITS = {name: 12 for name in ("q", "gamma", "ga_H", "Gs_cor_raw", "Gs_cor", "Frh_cor", "PMgs_min", "PMgs_max", "PMgs_min_best", "PMgs_max_best")}
 
 
-def rounded(df: DataFrame, keep: list[str], columns: list[str], digits: int = 6) -> DataFrame:
+def r6(expression: str, name: str | None = None, digits: int | None = None) -> str:
+    """SQL: rounded to six decimals (more for small numbers), without a negative zero."""
+    name = name or expression
+    return f"round({expression}, {digits or DIGITS.get(name, 6)}) + CAST(0 AS DOUBLE) AS {name}"
+
+
+def rounded(df: DataFrame, keep: list[str], columns: list[str], digits: int | None = None) -> DataFrame:
     """Spark counterpart of ``r6``."""
-    return df.select(*keep, *[F.round(F.col(name), digits).alias(name) for name in columns])
+    return df.select(*keep, *[F.round(F.col(name), digits or DIGITS.get(name, 6)).alias(name) for name in columns])
