@@ -711,6 +711,21 @@ def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.groupBy("quarter", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+_made_tables: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
+
+
+def _once(make: Callable[[SparkSession, str], dict[str, DataFrame]]) -> Callable[[SparkSession, str], dict[str, DataFrame]]:
+    """Two queries show one set of fits: the stored tables of a session and folder are made once."""
+    def run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+        key = make.__name__, spark.sparkContext.applicationId, sf_dir
+        if key not in _made_tables:
+            _made_tables[key] = {name: store(table, make.__name__) for name, table in make(spark, sf_dir).items()}
+        return _made_tables[key]
+
+    return run
+
+
+@_once
 def _tuned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Cross-validated errors of every mtry of every target."""
     train = store(_part(_forest_rows(spark, sf_dir), "train"), "tune_rows")
@@ -740,7 +755,6 @@ def best_mtry(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = M.best_mtry(_made_mtry(spark, sf_dir)).select(F.lit("made").alias("target"), "mtry", "rmse", F.lit(True).alias("least"))
     parts = [made]
     for target, table in _tuned(spark, sf_dir).items():
-        table = store(table, "tuned")
         best = M.best_mtry(table).select(F.col("mtry").alias("_mtry"), F.col("rmse").alias("_rmse"))
         checked = table.crossJoin(best).agg((  # one row on the right
             (F.min("rmse") == F.first("_rmse")) & (F.min(F.when(F.col("rmse") == F.col("_rmse"), F.col("mtry"))) == F.first("_mtry"))
@@ -798,13 +812,14 @@ def rmse_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.improvement_table(by_trees, by_mtry), "ImprovementValue", keep=["ImprovementType"])
 
 
+@_once
 def _importance(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Importance of every predictor in each of the seven models."""
     rows = store(_forest_rows(spark, sf_dir), "forest_rows")
     fitted = M.fit_all(_part(rows, "train"), settings=_forests(100), parallelism=4)
     test = _part(rows, "test")
     return {
-        m.target: store(I.permutation_importance(fitted[m.target], test, m.target, M.predictors_of(m), KEYS), "importance")
+        m.target: I.permutation_importance(fitted[m.target], test, m.target, M.predictors_of(m), KEYS)
         for m in MODELS
     }
 
