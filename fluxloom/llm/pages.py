@@ -393,10 +393,16 @@ def train(pages: list[str], seed: int = SEED, layouts: int = LAYOUTS_EACH) -> bo
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> boosting.Trees | None:
-    """Train on the first ``sample`` pages by hash of their HTML."""
-    html = whole(pages["html"])
-    rows = pages.select(html.alias("html")).where("html <> ''").orderBy(F.xxhash64("html"), "html").limit(sample).collect()
-    return train([r["html"] for r in rows])
+    """Train on the first ``sample`` pages by hash of their HTML; copies count once.
+
+    Hashes alone are ordered, so tasks hand over numbers and only the sampled pages reach the driver.
+    """
+    rows = pages.select(whole(pages["html"]).alias("html")).where("html <> ''").withColumn("h", F.xxhash64("html"))
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    chosen = rows.where(F.col("h") <= last).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return train([r["html"] for r in sorted(chosen, key=lambda r: r["h"])])
 
 
 def main_text(html: str | None, trees: boosting.Trees | None) -> str:
