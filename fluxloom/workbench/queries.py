@@ -488,7 +488,7 @@ def best_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     scores = rows.withColumns(ratios).select("*", F.inline(listed)).groupBy("percentile").agg(*errors)
     best = C.best_caps(grid.join(scores, "percentile"))
-    return best.select(*[F.round(name, 6).alias(name) for name in best.columns])
+    return V.rounded(best, [], best.columns)
 
 
 # ---------------------------------------------------------------- evaluation
