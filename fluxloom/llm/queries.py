@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import mixing, pages, quality, secrets, sentences, simhash, tokens, toolcalls, topk, toxicity
+from fluxloom.llm import mixing, pages, periods, quality, secrets, sentences, simhash, tokens, toolcalls, topk, toxicity, whitening
 from fluxloom.storage import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,21 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"]).select(
+        "row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, every tenth of which is given some."""
+    found = periods.detected(table(spark, sf_dir, "documents"), ["doc_id"], periods.planted)
+    return found.select(
+        "row.doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 TOOLS: toolcalls.Schemas = {
     "search": (
         toolcalls.Argument("query", "string", required=True), toolcalls.Argument("limit", "integer", low=1, high=50),
