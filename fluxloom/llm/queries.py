@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import mixing, pages, periods, quality, secrets, sentences, simhash, tokens, toolcalls, topk, toxicity, whitening
+from fluxloom.llm import kneser, mixing, pages, periods, quality, secrets, sentences, simhash, tokens, toolcalls, topk, toxicity, whitening
 from fluxloom.storage import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by a word model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = kneser.is_held_out(docs["doc_id"])
+    return kneser.scored(docs, ["doc_id"], ~held_out).select(
+        "row.doc_id", kneser.is_held_out(F.col("row.doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
 TOOLS: toolcalls.Schemas = {
     "search": (
         toolcalls.Argument("query", "string", required=True), toolcalls.Argument("limit", "integer", low=1, high=50),
