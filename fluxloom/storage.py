@@ -20,6 +20,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folders: dict[str, str] = {}
 _scopes: list[list[str]] = []
 
@@ -59,9 +61,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh shared path as Parquet and return the frame that reads it."""
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path``, drop the shuffle files that this took, and return the frame that reads it.
+
+    Nothing reads those files again, and Spark would keep them until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh shared path as Parquet and return the frame that reads it."""
+    return write(df, fresh_path(df.sparkSession, name))
