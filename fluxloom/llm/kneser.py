@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm.hasharrays import MASK, MappedShard, by_shard, pack, summed, unpack
 from fluxloom.llm.text import whole
-from fluxloom.storage import store
+from fluxloom.storage import fresh_path, scratch, store, write
 
 BLOCK = 1 << 23
 SHARD = 1 << 24
@@ -271,11 +271,13 @@ def fit(blocks: DataFrame) -> Model:
     """The model of all texts of ``block_table`` that teach."""
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD))
-    counted = store(_counts(blocks, shards).groupBy("kind", "shard").applyInArrow(_add_up(shards), COUNTED), "lm-counted")
-    merged = counted.where(F.col("kind") == WORD).groupBy("shard").applyInArrow(_merge_words, MERGED)
-    own = counted.where(F.col("kind") == PAIR).select(
-        *[F.lit(0).cast("long").alias(c.split()[0]) if c.startswith("tokens") else F.col(c.split()[0]) for c in MERGED.split(", ")])
-    table = store(merged.unionByName(own), "lm-shards")
+    path = fresh_path(blocks.sparkSession, "lm-shards")
+    with scratch(blocks.sparkSession):
+        counted = store(_counts(blocks, shards).groupBy("kind", "shard").applyInArrow(_add_up(shards), COUNTED), "lm-counted")
+        merged = counted.where(F.col("kind") == WORD).groupBy("shard").applyInArrow(_merge_words, MERGED)
+        own = counted.where(F.col("kind") == PAIR).select(
+            *[F.lit(0).cast("long").alias(c.split()[0]) if c.startswith("tokens") else F.col(c.split()[0]) for c in MERGED.split(", ")])
+        table = write(merged.unionByName(own), path)
     sums = {r["kind"]: r for r in table.groupBy("kind").agg(
         *[F.sum(c).alias(c) for c in ("entries", "c1", "c2", "c3", "c4", "total", "tokens")]).collect()}
     if not sums:
@@ -353,11 +355,10 @@ def _evaluate(model: Model):
 
 
 def scores(blocks: DataFrame, model: Model) -> DataFrame:
-    """Per distinct text: its key, tokens, known tokens, and log10 probabilities by words alone and by the model; stored."""
+    """Per distinct text: its key, tokens, known tokens, and log10 probabilities by words alone and by the model."""
     asked = _requests(blocks, model.shards)
     answers = asked.groupBy("kind", "shard").cogroup(model.table.groupBy("kind", "shard")).applyInArrow(_answer, PARTS)
-    rows = answers.groupBy("block").cogroup(blocks.drop("learn").groupBy("block")).applyInArrow(_evaluate(model), SCORES)
-    return store(rows, "lm-scores")
+    return answers.groupBy("block").cogroup(blocks.drop("learn").groupBy("block")).applyInArrow(_evaluate(model), SCORES)
 
 
 def is_held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
@@ -366,9 +367,13 @@ def is_held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
 
 def scored(docs: DataFrame, carry: list[str], learn: Column) -> DataFrame:
     """Every row's ``row``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``; the rows of ``learn`` teach."""
-    blocks = block_table(docs, learn)
-    model = fit(blocks)
+    spark = docs.sparkSession
+    path = fresh_path(spark, "lm-scores")
+    with scratch(spark):
+        blocks = block_table(docs, learn)
+        model = fit(blocks)
+        by_text = write(scores(blocks, model), path)
     text = whole(docs["text"])
     rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), F.xxhash64(text).alias("key"), F.hash(text).alias("more"))
-    return rows.join(scores(blocks, model), ["key", "more"]).select(
+    return rows.join(by_text, ["key", "more"]).select(
         "row", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
