@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fluxloom import schema as S
 from fluxloom.forests.prepare import FEATURES
-from fluxloom.operators.splits import hash_place
+from fluxloom.operators.splits import hash_pair, hash_place
 from fluxloom.storage import store
 
 BLOCK_ROWS = 4096
@@ -36,7 +36,7 @@ def with_donor(
     blocks = max(1, df.count() // block_rows)
     placed = df.withColumns({
         "_block": hash_place(list(keys), seed) % blocks,
-        "_order": hash_place(list(keys), seed + 1),
+        "_order": hash_pair(list(keys), seed + 1),
     })
     ring = Window.partitionBy("_block").orderBy("_order")
     values = F.struct(*predictors)

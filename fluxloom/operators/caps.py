@@ -22,6 +22,25 @@ RATIO_TARGETS = {
 CONDUCTANCE = "PMgs"
 
 
+def _ratios(min_energy: float) -> dict[str, Column]:
+    """The three flux ratios, on rows with enough energy only."""
+    return {
+        name: F.when(F.col("AE") > min_energy, flux_ratio(F.col("LE_CORR"), F.col(potential)))
+        for name, (potential, _, _) in RATIO_TARGETS.items()
+    }
+
+
+def _caps(df: DataFrame, values: dict[str, Column], percentiles: Sequence[float], mirrored: bool) -> DataFrame:
+    """One search over all variables, each with the row condition that its value carries."""
+    probs = [q for p in percentiles for q in ((p / 100, 1 - p / 100) if mirrored else (p / 100,))]
+    found = exact_percentiles(df, [], values, probs)
+    upper, here = F.col("prob") > 0.5, {name: F.col("variable") == name for name in values}
+    columns = {f"{name}_max": match & upper for name, match in here.items()}
+    if CONDUCTANCE in here:
+        columns[f"{CONDUCTANCE}_min"] = here[CONDUCTANCE] & ~upper
+    return _by_percentile(found, columns)
+
+
 def percentile_caps(
     df: DataFrame, percentiles: Sequence[float] = S.CAP_PERCENTILES, min_energy: float = S.CAP_MIN_ENERGY
 ) -> DataFrame:
@@ -29,17 +48,12 @@ def percentile_caps(
 
     One row per percentile: ``percentile, PT_max, Penman_max, PMKc_max``.
     """
-    ratios = {name: flux_ratio(F.col("LE_CORR"), F.col(potential)) for name, (potential, _, _) in RATIO_TARGETS.items()}
-    found = exact_percentiles(df.where(F.col("AE") > min_energy), [], ratios, [p / 100 for p in percentiles])
-    return _by_percentile(found, {f"{name}_max": F.col("variable") == name for name in ratios})
+    return _caps(df, _ratios(min_energy), percentiles, False)
 
 
 def conductance_caps(df: DataFrame, percentiles: Sequence[float] = S.CAP_PERCENTILES) -> DataFrame:
     """Lower and upper percentiles of surface conductance: ``percentile, PMgs_max, PMgs_min``."""
-    probs = [q for p in percentiles for q in (p / 100, 1 - p / 100)]
-    found = exact_percentiles(df, [], {CONDUCTANCE: F.col("Gs_cor_raw")}, probs)
-    upper = F.col("prob") > 0.5
-    return _by_percentile(found, {f"{CONDUCTANCE}_max": upper, f"{CONDUCTANCE}_min": ~upper})
+    return _caps(df, {CONDUCTANCE: F.col("Gs_cor_raw")}, percentiles, True)
 
 
 def _by_percentile(found: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -51,11 +65,12 @@ def _by_percentile(found: DataFrame, columns: dict[str, Column]) -> DataFrame:
     )
 
 
-def cap_grid(df: DataFrame, percentiles: Sequence[float] = S.CAP_PERCENTILES) -> DataFrame:
-    """The cap table: every percentile with the caps of all four parameters."""
-    return store(
-        percentile_caps(df, percentiles).join(conductance_caps(df, percentiles), "percentile", "full"), "cap_grid"
-    )
+def cap_grid(
+    df: DataFrame, percentiles: Sequence[float] = S.CAP_PERCENTILES, min_energy: float = S.CAP_MIN_ENERGY
+) -> DataFrame:
+    """The cap table: every percentile with the caps of all four parameters, from one search."""
+    values = _ratios(min_energy) | {CONDUCTANCE: F.col("Gs_cor_raw")}
+    return store(_caps(df, values, percentiles, True), "cap_grid")
 
 
 def capped(value: Column, cap: float) -> Column:

@@ -68,26 +68,29 @@ def _holding_rank(wanted: DataFrame, entries: DataFrame, keys: list[str]) -> Dat
 def value_at_rank(
     rows: DataFrame,
     keys: list[str],
-    ranks: Ranks,
+    ranks: Ranks | DataFrame,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Values at given ranks of the column ``v`` within each group.
 
-    ``ranks(n)`` gives an array of zero-based ranks for a group of n rows. ``v`` is
-    a double without nulls or NaN. The result is a stored table of the keys, ``n``,
-    ``rank`` and ``v``: one row per group and rank. ``rows`` is scanned twice, and
+    ``ranks(n)`` gives an array of zero-based ranks for a group of n rows; a table has the
+    keys and ``rank``. ``v`` is a double without nulls or NaN. The result is a stored table
+    of the keys, ``n``, ``rank``, ``v`` and ``first`` (the lowest rank that has the value):
+    one row per group and rank. ``rows`` is scanned twice, and
     once more for each narrowing round that a big group needs; pass a stored frame
     when it is costly to compute.
     """
     group = [*keys, "_lo", "_hi"]
-    wanted = store(
+    sizes = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
         .where(F.col("n") > 0)
         .withColumns({"_base": F.lit(0).cast("long"), "_size": F.col("n")})
-        .withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))),
-        "ranks",
     )
+    if isinstance(ranks, DataFrame):
+        wanted = store(join_null_safe(sizes, ranks.select(*keys, "rank").distinct(), keys), "ranks")
+    else:
+        wanted = store(sizes.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))), "ranks")
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
     scale, before = _log_scale, None
     while True:
@@ -120,7 +123,32 @@ def value_at_rank(
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     entries = _running_start(counts, group, "v").drop("_base")
-    return store(_holding_rank(wanted, entries, keys).select(*keys, "n", "rank", "v"), "rank_values")
+    return store(_holding_rank(wanted, entries, keys).select(*keys, "n", "rank", "v", F.col("_start").alias("first")), "rank_values")
+
+
+def pair_at_rank(rows: DataFrame, keys: list[str], ranks: Ranks, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Pairs (``v``, ``w``) at given ranks of each group, ordered by ``v`` and then ``w``: keys, ``n``, ``rank``, ``v``, ``w``.
+
+    For values of more bits than a double holds, in two parts. Ranks are found over
+    ``v``; only among rows that share the ``v`` of a wanted rank, and differ in ``w``,
+    the rest of the rank is found over ``w``.
+    """
+    found = value_at_rank(rows.drop("w"), keys, ranks, rows_per_bucket)
+    group = [*keys, "v"]
+    shared = join_null_safe(rows, found.select(*group).distinct(), group).groupBy(*group).agg(
+        F.min("w").alias("_low"), F.max("w").alias("w"))
+    shared = store(shared, "rank_pairs")
+    settled = join_null_safe(found, shared.where(F.col("_low") == F.col("w")).drop("_low"), group).select(*keys, "n", "rank", "v", "w")
+    torn = shared.where(F.col("_low") < F.col("w")).select(*group)
+    if torn.isEmpty():
+        return settled
+    open_ = store(join_null_safe(found, torn, group, "left_semi"), "torn_ranks")
+    part = [*keys, "_v"]
+    tied = store(join_null_safe(rows, torn, group).withColumnRenamed("v", "_v").select(*part, F.col("w").alias("v")), "torn_rows")
+    inner = open_.withColumnRenamed("v", "_v").select(*part, (F.col("rank") - F.col("first")).alias("rank"))
+    values = value_at_rank(tied, part, inner, rows_per_bucket).select(*part, F.col("rank").alias("_inner"), F.col("v").alias("w"))
+    rest = open_.withColumnRenamed("v", "_v").withColumn("_inner", F.col("rank") - F.col("first"))
+    return settled.unionByName(join_null_safe(rest, values, [*part, "_inner"]).select(*keys, "n", "rank", F.col("_v").alias("v"), "w"))
 
 
 def exact_percentiles(

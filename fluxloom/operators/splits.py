@@ -3,8 +3,8 @@
 A row's place is decided by the md5 of its key and a seed, so the split does not
 depend on partitioning or on which executor computed it. The share per stratum is
 exact: the cut is the hash at rank ceil(fraction * n), found without sorting a
-stratum, and rows are then only compared with it. The hash is compared in two
-halves, the second only among rows whose first half is the cut itself.
+stratum, and rows are then only compared with it. The whole hash counts: it is
+compared in two parts, each of which a double holds exactly.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.operators.joins import join_null_safe
-from fluxloom.operators.order_stats import ROWS_PER_BUCKET, exact_percentiles, spread_percentiles, value_at_rank
+from fluxloom.operators.order_stats import ROWS_PER_BUCKET, exact_percentiles, pair_at_rank, spread_percentiles
 from fluxloom.storage import store
 
 
@@ -23,6 +23,11 @@ def hash_place(keys: list[str], seed: int, start: int = 1) -> Column:
     return F.conv(F.substring(F.md5(text), start, 13), 16, 10).cast("double")
 
 
+def hash_pair(keys: list[str], seed: int) -> Column:
+    """The md5 of ``hash_place`` as two numbers of 52 bits each, compared one after the other."""
+    return F.struct(hash_place(keys, seed).alias("v"), hash_place(keys, seed, 14).alias("w"))
+
+
 def split_stratified(
     df: DataFrame,
     strata: list[str],
@@ -35,39 +40,13 @@ def split_stratified(
 
     ``keys`` identify a row. Rows that share a key share a side.
     """
-    place, rest = hash_place(keys, seed), hash_place(keys, seed, 14)
-    places = store(df.select(*strata, place.alias("v"), rest.alias("_rest")), "places")
-    cuts = value_at_rank(
-        places.drop("_rest"), strata, lambda n: F.array(F.ceil(n * F.lit(fraction)).cast("long") - 1), rows_per_bucket
-    ).select(*strata, "rank", F.col("v").alias("_cut"))
-    cuts = _second_cut(places, cuts, strata, rows_per_bucket)
-    before = (place < F.col("_cut")) | ((place == F.col("_cut")) & (rest <= F.col("_cut_rest")))
-    side = F.when(before, "train").otherwise("test")
-    return join_null_safe(df, cuts, strata, "left").withColumn("split", side).drop("_cut", "_cut_rest")
-
-
-def _second_cut(places: DataFrame, cuts: DataFrame, strata: list[str], rows_per_bucket: int) -> DataFrame:
-    """Add ``_cut_rest``: how far the second half of the hash may go among rows whose first half is the cut.
-
-    Where those rows agree in it too, as almost always, it is that value; else the
-    wanted rank is found among them in the same way as the first cut.
-    """
-    near = join_null_safe(places, cuts, strata, where=F.col("v") <= F.col("_cut"))
-    at_cut = F.col("v") == F.col("_cut")
-    ends = store(near.groupBy(*strata, "rank", "_cut").agg(
-        F.count(F.when(~at_cut, 1)).alias("_less"), F.min(F.when(at_cut, F.col("_rest"))).alias("_low"),
-        F.max(F.when(at_cut, F.col("_rest"))).alias("_cut_rest")), "cuts")
-    torn = ends.where(F.col("_low") < F.col("_cut_rest"))
-    if torn.isEmpty():
-        return ends.select(*strata, "_cut", "_cut_rest")
-    group = [*strata, "_left"]
-    wanted = torn.select(*strata, "_cut", (F.col("rank") - F.col("_less")).alias("_left"))
-    tied = join_null_safe(places, wanted, strata, where=at_cut).select(*group, F.col("_rest").alias("v"))
-    found = value_at_rank(
-        store(tied, "ties"), group, lambda n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: k), rows_per_bucket
-    ).where(F.col("rank") == F.col("_left")).select(*strata, F.col("v").alias("_exact"))
-    return join_null_safe(ends, found, strata, "left").select(
-        *strata, "_cut", F.coalesce("_exact", "_cut_rest").alias("_cut_rest"))
+    place = hash_pair(keys, seed)
+    places = store(df.select(*strata, place["v"].alias("v"), place["w"].alias("w")), "places")
+    cuts = pair_at_rank(
+        places, strata, lambda n: F.array(F.ceil(n * F.lit(fraction)).cast("long") - 1), rows_per_bucket
+    ).select(*strata, F.struct("v", "w").alias("_cut"))
+    side = F.when(place <= F.col("_cut"), "train").otherwise("test")
+    return join_null_safe(df, store(cuts, "cuts"), strata, "left").withColumn("split", side).drop("_cut")
 
 
 def target_quartile(df: DataFrame, target: str, name: str = "stratum") -> DataFrame:
@@ -93,18 +72,34 @@ def save_split(df: DataFrame, keys: list[str], path: str) -> None:
 
 
 def assign_folds(
-    df: DataFrame, target: str, keys: list[str], folds: int = 3, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, target: str, keys: list[str], folds: int = 3, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET,
+    quarter: str | None = None,
 ) -> DataFrame:
     """Add ``fold`` (0-based) for cross-validation, balanced over the quarters of ``target``.
 
     In each quarter rows are cut into ``folds`` runs of their hash at exact ranks, so
-    fold sizes differ by one at most (but for rows that share a key).
+    fold sizes differ by one at most (but for rows that share a key). The quarter is kept
+    under the name ``quarter``, if one is given.
     """
     placed = target_quartile(df, target, "_quarter")
-    place = hash_place(keys, seed)
-    edges = value_at_rank(
-        store(placed.select("_quarter", place.alias("v")), "places"), ["_quarter"],
+    folded = add_folds(placed, ["_quarter"], keys, folds, seed, rows_per_bucket)
+    return folded.withColumnRenamed("_quarter", quarter) if quarter else folded.drop("_quarter")
+
+
+def add_folds(
+    df: DataFrame, strata: list[str], keys: list[str], folds: int = 3, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add ``fold``: the rows of each stratum in ``folds`` runs of their hash."""
+    place = hash_pair(keys, seed)
+    edges = pair_at_rank(
+        store(df.select(*strata, place["v"].alias("v"), place["w"].alias("w")), "places"), strata,
         lambda n: F.array(*[F.floor(n * F.lit(k) / F.lit(folds)).cast("long") for k in range(1, folds)]), rows_per_bucket,
-    ).groupBy("_quarter").agg(F.sort_array(F.collect_list("v")).alias("_edges"))
+    )
+    # edges beyond the first at one rank (strata of fewer rows than folds) count again
+    ranks = F.array(*[F.floor(F.col("n") * F.lit(k) / F.lit(folds)).cast("long") for k in range(1, folds)])
+    edges = edges.groupBy(*strata).agg(
+        F.collect_list(F.struct("rank", F.struct("v", "w").alias("at"))).alias("_at"), F.first("n").alias("n"))
+    edges = edges.select(*strata, F.flatten(F.transform(ranks, lambda r: F.transform(
+        F.filter("_at", lambda e: e["rank"] == r), lambda e: e["at"]))).alias("_edges"))
     fold = F.size(F.filter("_edges", lambda edge: edge <= place))
-    return join_null_safe(placed, store(edges, "fold_edges"), ["_quarter"], "left").withColumn("fold", fold).drop("_quarter", "_edges")
+    return join_null_safe(df, store(edges, "fold_edges"), strata, "left").withColumn("fold", fold).drop("_edges")

@@ -1,17 +1,16 @@
 """Daily site files: find, gate, read and stack.
 
-Spark binds CSV columns to a schema by position, while site files differ in column
-order and content. So the header of each file is looked at first, files with the
-same header are read together with that header as their schema, and only then are
-columns chosen by name.
+Site files differ in column order and content, and there may be very many of them. Spark lists them; one scan of
+lines keeps only those that name every required column, so a table of (path, header) is left in which a file
+without a required column has no row. The driver sees the distinct headers, not files. Cells are then read as text
+by place in one scan, and joined to the table of files by their input path, which tells the header and so the
+place of every column.
 """
 
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,100 +21,84 @@ from fluxloom import schema as S
 from fluxloom.operators.clean import decode_yyyymmdd, from_date, sentinel_to_null
 from fluxloom.storage import store
 
-READ_OPTIONS = {"header": "true", "nullValue": "NA", "enforceSchema": "false", "mode": "PERMISSIVE"}
-HEADER_THREADS = 32
+READ_OPTIONS = {"header": "false", "nullValue": "NA", "mode": "PERMISSIVE", "recursiveFileLookup": "true"}
+BYTE_ORDER_MARK = "\ufeff"
+PATH = "_path"
 
 
-def list_daily_files(spark: SparkSession, folder: str, mark: str = S.DAILY_FILE_MARK) -> list[str]:
-    """Files below ``folder`` whose own name, or whose folder's name, contains ``mark``.
+def source_name(path: Column, mark: str = S.DAILY_FILE_MARK) -> Column:
+    """The marked part of a path: a file's own name, or its folder's. A site may be a folder of part files."""
+    return F.regexp_extract(path, rf"([^/=]*{mark}[^/]*)", 1)
 
-    A site may be one file or a folder of part files, as Spark writes it.
-    """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    entries = system.listFiles(root, True)
-    found = []
-    while entries.hasNext():
-        path = entries.next().getPath().toString()
-        parts = path.split("/")
-        if not parts[-1].startswith(("_", ".")) and any(mark in part for part in parts[-2:]):
-            found.append(path)
-    return sorted(found)
-
-
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names in a file's first line; only the start of the file is read."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = system.open(target)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    return tuple(name.strip() for name in next(csv.reader([(line or "").lstrip("\ufeff")]), []))
-
-
-def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by identical header."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        for path, header in zip(paths, pool.map(lambda p: read_header(spark, p), paths)):
-            groups[header].append(path)
-    return dict(groups)
 
+def site_from_path(path: Column, mark: str = S.DAILY_FILE_MARK) -> Column:
+    """Site id: fixed characters of the marked file (or folder) name."""
+    return F.nullif(F.substring(source_name(path, mark), S.SITE_NAME_START, S.SITE_NAME_LENGTH), F.lit(""))
 
-def passes_gate(header: Sequence[str], required: Sequence[str]) -> bool:
-    """A file is kept only if it has every required column."""
-    return set(required) <= set(header)
 
+def split_header(line: str) -> tuple[str, ...]:
+    """Column names in a header line."""
+    return tuple(name.strip() for name in next(csv.reader([line.lstrip(BYTE_ORDER_MARK)]), []))
 
-def site_from_path(path: Column, mark: str = S.DAILY_FILE_MARK) -> Column:
-    """Site id: fixed characters of the marked file (or folder) name."""
-    name = F.regexp_extract(path, rf"([^/=]*{mark}[^/]*)", 1)
-    return F.nullif(F.substring(name, S.SITE_NAME_START, S.SITE_NAME_LENGTH), F.lit(""))
 
+def passes_gate(header: Sequence[str], required: Sequence[str]) -> bool:
+    """A file is kept only if it has every required column."""
+    return set(required) <= set(header)
 
-def site_of(path: str, mark: str = S.DAILY_FILE_MARK) -> str:
-    """Site id of a listed path, for planning on the driver."""
-    name = next(part for part in reversed(path.split("/")) if mark in part).split("=")[-1]
-    start = S.SITE_NAME_START - 1
-    return name[start:start + S.SITE_NAME_LENGTH]
 
+def gated_files(spark: SparkSession, path: str, required: Sequence[str], mark: str | None = None) -> DataFrame:
+    """Stored table of ``_path`` and ``header``: the first line, of each file below ``path``, that names all required columns.
 
-def _reader_schema(header: Sequence[str], types: dict[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(name, types.get(name, T.StringType())) for name in header])
+    With ``mark`` only files count whose own name, or whose folder's name, contains it.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias(PATH), F.col("_metadata.file_block_start").alias("_start"))
+    if mark:
+        lines = lines.where(F.col(PATH).rlike(rf"{mark}[^/]*(/[^/]*)?$"))
+    named = reduce(lambda a, b: a & b, [F.contains("value", F.lit(name)) for name in required])
+    placed = lines.where(named).withColumn("_line", F.monotonically_increasing_id())
+    return store(placed.groupBy(PATH).agg(F.min_by("value", F.struct("_start", "_line")).alias("header")), "files")
 
 
-def read_by_header(
+def read_by_name(
     spark: SparkSession,
-    groups: dict[tuple[str, ...], list[str]],
+    path: str,
     types: dict[str, T.DataType],
-    extra: dict[str, Column] | None = None,
     optional: dict[str, T.DataType] | None = None,
+    mark: str | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
-    """Read gated files by name, one scan per distinct header; unused columns are not parsed.
+    """CSV files below ``path`` read by column name in one scan: the columns of ``types``, and ``_path``.
 
-    ``extra`` adds columns built from the file metadata. ``optional`` columns are read
-    where a header has them, null in files without, and left out if no header has them.
+    ``optional`` columns are read where a header has them, null in files without, and left out if no header has
+    them. Other columns are not parsed. ``files``: what ``gated_files`` found there, if it is known.
     """
-    optional = {name: kind for name, kind in (optional or {}).items() if any(name in header for header in groups)}
-    added = [column.alias(name) for name, column in (extra or {}).items()]
-    frames = [
-        spark.read.options(**READ_OPTIONS)
-        .schema(_reader_schema(header, types | optional))
-        .csv(paths)
-        .select(
-            *[F.col(f"`{name}`") for name in types], *added,
-            *[F.col(f"`{n}`") if n in header else F.lit(None).cast(kind).alias(n) for n, kind in optional.items()],
-        )
-        for header, paths in groups.items()
-        if passes_gate(header, list(types))
-    ]
-    if not frames:
+    files = gated_files(spark, path, list(types), mark) if files is None else files
+    lines = [row["header"] for row in files.select("header").distinct().orderBy("header").collect()]
+    layouts = {line: split_header(line) for line in lines if passes_gate(split_header(line), list(types))}
+    if not layouts:
         raise ValueError("no file has all required columns")
-    return reduce(DataFrame.unionByName, frames)
+    optional = {name: kind for name, kind in (optional or {}).items() if any(name in names for names in layouts.values())}
+    width = max(map(len, layouts.values()))
+    cells = spark.read.options(**READ_OPTIONS).schema(", ".join(f"`_c{i}` string" for i in range(width))).csv(path)
+    cells = cells.select("*", F.col("_metadata.file_path").alias(PATH)).join(
+        files.where(F.col("header").isin(list(layouts))), PATH)
+
+    def text(name: str) -> Column:
+        """The cell of a column, at its place in the file's header."""
+        places: dict[int, list[str]] = {}
+        for line, names in layouts.items():
+            if name in names:
+                places.setdefault(names.index(name), []).append(line)
+        if len(places) == 1 and all(name in names for names in layouts.values()):
+            return F.col(f"_c{next(iter(places))}")
+        whens = [(F.col("header").isin(own), F.col(f"_c{place}")) for place, own in places.items()]
+        return reduce(lambda out, x: out.when(*x), whens[1:], F.when(*whens[0]))
+
+    is_header = reduce(lambda a, b: a & b, [
+        F.coalesce(F.trim(F.ltrim(text(name), F.lit(BYTE_ORDER_MARK))) == name, F.lit(False)) for name in types])
+    return cells.where(~is_header).select(
+        *[text(name).try_cast(kind).alias(name) for name, kind in (types | optional).items()], PATH)
 
 
 def merge_identical(df: DataFrame, file_column: str = "_file") -> DataFrame:
@@ -155,19 +138,11 @@ def read_daily_sites(
     """All gated site files as one daily table: ``site, PDATE`` and the measured columns."""
     types: dict[str, T.DataType] = {"TIMESTAMP": T.IntegerType()}
     types |= {name: T.DoubleType() for name in measured}
-    paths = list_daily_files(spark, folder, mark)
-    groups = {h: p for h, p in read_headers(spark, paths).items() if passes_gate(h, list(types))}
-    source = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/=]*{mark}[^/]*)", 1)
-    raw = read_by_header(
-        spark, groups, types, {"site": site_from_path(F.col("_metadata.file_path"), mark), "_file": source}
-    )
-    dated = sentinel_to_null(raw).withColumn("PDATE", decode_yyyymmdd(F.col("TIMESTAMP")))
+    files = gated_files(spark, folder, list(types), mark)
+    raw = read_by_name(spark, folder, types, files=files).withColumns(
+        {"site": site_from_path(F.col(PATH), mark), "_file": source_name(F.col(PATH), mark)})
+    dated = sentinel_to_null(raw.drop(PATH)).withColumn("PDATE", decode_yyyymmdd(F.col("TIMESTAMP")))
     if start:
         dated = from_date(dated, start, "PDATE")
-    files = sorted({(site_of(p, mark), _source_name(p, mark)) for paths in groups.values() for p in paths})
-    listed = spark.createDataFrame(files, "site string, file string")
+    listed = files.select(site_from_path(F.col(PATH), mark).alias("site"), source_name(F.col(PATH), mark).alias("file")).distinct()
     return stack_sites(dated.select("site", "PDATE", *measured, "_file"), listed)
-
-
-def _source_name(path: str, mark: str) -> str:
-    return next(part for part in reversed(path.split("/")) if mark in part).split("=")[-1]

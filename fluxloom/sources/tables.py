@@ -10,24 +10,15 @@ from pyspark.sql import types as T
 from fluxloom import schema as S
 from fluxloom.functions.guards import nan_to_null
 from fluxloom.operators.clean import satellite_product, scale_fpar
-from fluxloom.sources.daily_files import read_by_header, read_headers
+from fluxloom.sources.daily_files import PATH, read_by_name
 
 
 def read_named_csv(
     spark: SparkSession, path: str, schema: T.StructType, optional: dict[str, T.DataType] | None = None
 ) -> DataFrame:
     """A CSV file, or a folder of part files, with its columns bound by name."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    entries = system.listFiles(root, True)
-    paths = []
-    while entries.hasNext():
-        name = entries.next().getPath().toString()
-        if not name.split("/")[-1].startswith(("_", ".")):
-            paths.append(name)
     types = {field.name: field.dataType for field in schema.fields}
-    df = read_by_header(spark, read_headers(spark, sorted(paths)), types, optional=optional)
+    df = read_by_name(spark, path, types, optional).drop(PATH)
     doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({name: nan_to_null(F.col(name)) for name in doubles})
 

@@ -24,7 +24,7 @@ from fluxloom.operators import joins as J
 from fluxloom.operators import reshape as R
 from fluxloom.operators.boxplot import boxplot_outliers, boxplot_stats
 from fluxloom.operators.lookahead import fill_ahead, next_or_last, series_last
-from fluxloom.operators.splits import assign_folds, save_split, split_by_target, target_quartile
+from fluxloom.operators.splits import assign_folds, save_split, split_by_target
 from fluxloom.sources import daily_files as D
 from fluxloom.sources import sinks
 from fluxloom.sources.tables import read_satellite, read_site_metadata, read_table
@@ -78,7 +78,7 @@ def _stamped(df: DataFrame) -> DataFrame:
 
 
 def _site_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write the flux table as one marked folder per site.
+    """Write the flux table as one marked folder per site, with a file per year.
 
     Column order differs between two groups of sites, and the sites of one region
     lack a required column.
@@ -89,7 +89,7 @@ def _site_files(spark: SparkSession, sf_dir: str) -> str:
     )
     regions = sites.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("site"), "n_regionkey")
     named = F.concat(F.lit("AMF_"), F.rpad("site", 6, "-"), F.lit("_FLUXNET_"), F.lit(S.DAILY_FILE_MARK))
-    rows = _stamped(V.flux(spark, sf_dir)).join(regions, "site").withColumn("file", named)
+    rows = store(_stamped(V.flux(spark, sf_dir)).join(regions, "site").withColumn("file", named), "site_rows")
     region = F.col("n_regionkey")
     whole = ["TIMESTAMP", *S.MEASURED]
     turned = [*reversed(S.MEASURED), "TIMESTAMP"]
@@ -97,7 +97,7 @@ def _site_files(spark: SparkSession, sf_dir: str) -> str:
     for part, columns in (
         (region < BROKEN_REGION, whole), (region > BROKEN_REGION, turned), (region == BROKEN_REGION, short)
     ):
-        rows.where(part).select(*columns, "file").repartition("file").write.mode("append").option(
+        rows.where(part).select(*columns, "file").repartition("file", F.floor(F.col("TIMESTAMP") / 10000)).write.mode("append").option(
             "header", "true"
         ).partitionBy("file").csv(folder)
     return folder
@@ -131,8 +131,7 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "merged-csv")
     sinks.write_csv(_stamped(V.clean(spark, sf_dir)).select("site", "TIMESTAMP", *S.MEASURED), path)
     types = {"site": T.StringType()} | CSV_TYPES
-    groups = D.read_headers(spark, D.list_daily_files(spark, path, "part-"))
-    back = D.read_by_header(spark, groups, types).withColumn(
+    back = D.read_by_name(spark, path, types).withColumn(
         "obs_date", F.to_date(K.decode_yyyymmdd(F.col("TIMESTAMP")))
     )
     return back.select(*KEYS, "TA_F", "H_CORR", "LE_CORR", "USTAR")
@@ -174,7 +173,7 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.clean(spark, sf_dir).select("site", F.date_format("obs_date", "yyyy-MM-dd").alias("day"), "USTAR", "P_F")
     sinks.write_csv(rows, path)
     types = {"site": T.StringType(), "day": T.StringType(), "USTAR": T.DoubleType(), "P_F": T.DoubleType()}
-    back = D.read_by_header(spark, D.read_headers(spark, D.list_daily_files(spark, path, "part-")), types)
+    back = D.read_by_name(spark, path, types)
     return back.select("site", F.to_date("day").alias("obs_date"), "USTAR", "P_F")
 
 
@@ -425,7 +424,7 @@ def split_by_target_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gap_fill_nocb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = fill_ahead(V.satellite(V.clean(spark, sf_dir)), V.FILLED, order="obs_date")
+    filled = fill_ahead(V.satellite(V.clean(spark, sf_dir)), V.FILLED, order="obs_date", tie=())
     return _rounded(filled, *V.FILLED, *[f"{c}_raw" for c in V.FILLED])
 
 
@@ -707,7 +706,7 @@ def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per quarter of the flux and cross-validation fold."""
     rows = store(_forest_rows(spark, sf_dir).select(*KEYS, "split", "LE_CORR"), "fold_rows")
     train = _part(rows, "train")
-    folded = target_quartile(assign_folds(train, "LE_CORR", KEYS), "LE_CORR", "quarter")
+    folded = assign_folds(train, "LE_CORR", KEYS, quarter="quarter")
     return folded.groupBy("quarter", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -164,7 +164,7 @@ phys AS (
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Physics, satellite values with short gaps filled, then quality control."""
-    filled = fill_ahead(satellite(physical(spark, sf_dir)), FILLED, order="obs_date")
+    filled = fill_ahead(satellite(physical(spark, sf_dir)), FILLED, order="obs_date", tie=())  # the view has one row a site and day
     return filled.where(quality_ok()).na.drop(subset=REQUIRED_AFTER_QC).where(balance_ok())
 
 

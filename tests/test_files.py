@@ -5,6 +5,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluxloom import schema as S
 from fluxloom.operators.clean import decode_yyyymmdd, satellite_product, sentinel_to_null
@@ -119,3 +120,29 @@ def test_writes_never_replace_their_input(spark, folder):
     sinks.write_table(spark.range(3).toDF("k"), path)
     with pytest.raises(Exception, match="already exists"):
         sinks.write_table(spark.read.parquet(path), path)
+
+
+def test_headers_of_many_small_files_are_read_in_tasks(spark, folder):
+    """20,000 files in two layouts and some without a column; the driver sees three headers at most."""
+    whole, turned = COLUMNS, ["extra", *reversed(COLUMNS)]
+    texts = [",".join(c) + "\n" + ",".join("20150401" if x == "TIMESTAMP" else "2.5" if x == "TA_F" else "1" for x in c) + "\n"
+             for c in (whole, turned, whole[:-1])]
+    for i in range(20_000):
+        with open(os.path.join(folder, f"AMF_{i:06d}_X_FULLSET_DD_1.csv"), "w") as out:
+            out.write(texts[i % 3])
+    types = {"TIMESTAMP": T.IntegerType(), "TA_F": T.DoubleType(), COLUMNS[-1]: T.DoubleType()}
+    files = D.gated_files(spark, folder, list(types), S.DAILY_FILE_MARK)
+    assert files.count() == 13_334 and files.select("header").distinct().count() == 2
+    rows = D.read_by_name(spark, folder, types, files=files)
+    got = rows.agg(F.count("*"), F.sum("TA_F"), F.min("TIMESTAMP"), F.countDistinct(D.PATH), F.sum(COLUMNS[-1])).first()
+    assert tuple(got) == (13_334, 2.5 * 13_334, 20150401, 13_334, 13_334.0)
+
+
+def test_byte_order_mark_quotes_and_spaces_in_headers(spark, folder):
+    with open(os.path.join(folder, "a_FULLSET_DD.csv"), "w") as out:
+        out.write('\ufeff"site", v ,w\n"A,1",2,x\nB,NA,3\n')
+    with open(os.path.join(folder, "b_FULLSET_DD.csv"), "w") as out:
+        out.write("v,site\n7.5,C\nbroken,D\n")
+    types = {"site": T.StringType(), "v": T.DoubleType()}
+    got = sorted(map(tuple, D.read_by_name(spark, folder, types, {"w": T.StringType(), "none": T.StringType()}).drop(D.PATH).collect()), key=str)
+    assert got == [("A,1", 2.0, "x"), ("B", None, "3"), ("C", 7.5, None), ("D", None, None)]

@@ -107,3 +107,36 @@ def test_rows_whose_first_hash_half_ties_are_still_cut_exactly(spark, monkeypatc
     split = split_stratified(keyed(spark), ["site"], ["site", "k"], rows_per_bucket=16)
     counts = {(r["site"], r["split"]): r["count"] for r in split.groupBy("site", "split").count().collect()}
     assert counts == {("hot", "train"): 675, ("hot", "test"): 225, ("cold", "train"): 6, ("cold", "test"): 1, ("one", "train"): 1}
+
+
+def test_folds_whose_first_hash_half_ties_are_still_cut_exactly(spark, monkeypatch):
+    whole = splits.hash_place
+    monkeypatch.setattr(splits, "hash_place", lambda keys, seed, start=1: F.lit(1.0) if start == 1 else whole(keys, seed, start))
+    rows = assign_folds(keyed(spark), "y", ["site", "k"], rows_per_bucket=16, quarter="quarter").collect()
+    assert len(rows) == 908
+    for quarter in {r["quarter"] for r in rows}:
+        sizes = [sum(r["quarter"] == quarter and r["fold"] == f for r in rows) for f in range(3)]
+        assert max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_folds_of_few_rows(spark, n):
+    rows = splits.add_folds(keyed(spark).where("site = 'hot'").limit(n).withColumn("s", F.lit(1)), ["s"], ["site", "k"]).collect()
+    sizes = [sum(r["fold"] == f for r in rows) for f in range(3)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
+def test_days_without_repeats_carry_no_tie_hash(spark):
+    df = spark.createDataFrame(series(), "site string, DATE date, x double, k int").withColumn("unused", F.sqrt(F.col("k") + 1.5))
+    for tie in (None, ()):
+        plan = fill_ahead(df, ["x"], tie=tie).select("site", "DATE", "x")._jdf.queryExecution().optimizedPlan().toString()
+        assert "xxhash64" not in plan and "SQRT" not in plan.upper()
+
+
+def test_named_ties(spark):
+    start = datetime.date(2000, 1, 1)
+    rows = [("A", start + datetime.timedelta(days=i // 3), float(i) if i % 4 == 0 else None, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "site string, DATE date, x double, k int").repartition(4)
+    got = fill_ahead(df, ["x"], block_days=2, tie=["k"]).collect()
+    assert sorted(r["k"] for r in got) == list(range(60))
+    assert series_last(df, "k", "last", tie=["k"]).select("last").distinct().count() == 1
