@@ -55,10 +55,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        paths, context = _scopes.pop(), spark.sparkContext
-        for path in paths:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write(df: DataFrame, path: str) -> DataFrame:
