@@ -1,6 +1,7 @@
 """Permutation importance in percent increase of squared error.
 
-One pass predicts every held-out row with each predictor exchanged in turn. The
+One pass predicts rows that a tree has not seen, with each predictor exchanged in turn: held-out rows, or, for forests
+fitted in bags, the rows that a bag did not draw, which the hash of their keys tells. The
 exchanged values come from another row of a block: rows are dealt into blocks of a
 few thousand by a hash of their key and put into a random order there, and each
 row takes the next row's values. Blocks are random subsets of the table, so this
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
+from fluxloom.forests.models import bag_weight, in_pools
 from fluxloom.forests.prepare import FEATURES
 from fluxloom.operators.splits import hash_pair, hash_place
 from fluxloom.storage import store
@@ -30,15 +32,16 @@ TREES_AT_ONCE = 50
 
 
 def with_donor(
-    df: DataFrame, predictors: Sequence[str], keys: Sequence[str], seed: int, block_rows: int = BLOCK_ROWS
+    df: DataFrame, predictors: Sequence[str], keys: Sequence[str], seed: int, block_rows: int = BLOCK_ROWS,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``donor``: the predictors of another row, every row giving to exactly one."""
+    """Add ``donor``: the predictors of another row (of the same ``within``), every row giving to exactly one."""
     blocks = max(1, df.count() // block_rows)
     placed = df.withColumns({
         "_block": hash_place(list(keys), seed) % blocks,
         "_order": hash_pair(list(keys), seed + 1),
     })
-    ring = Window.partitionBy("_block").orderBy("_order")
+    ring = Window.partitionBy(*within, "_block").orderBy("_order")
     values = F.struct(*predictors)
     first = F.first(values).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return placed.withColumn("donor", F.coalesce(F.lead(values).over(ring), first)).drop("_block", "_order")
@@ -53,24 +56,10 @@ def _variants(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFram
     return df.select(target, F.inline(F.array(*[variant(p) for p in (NONE, *predictors)])))
 
 
-def permutation_importance(
-    model: PipelineModel,
-    df: DataFrame,
-    target: str,
-    predictors: Sequence[str],
-    keys: Sequence[str],
-    seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``variable, Overall, increase``: mean increase of squared error over trees, in standard errors
-    of that mean and as it is.
-
-    ``df`` should be rows the forest was not fitted on.
-    """
+def tree_errors(model: PipelineModel, donors: DataFrame, target: str, predictors: Sequence[str], number_from: int = 0) -> DataFrame:
+    """``tree, variable, mse``: the squared error of every tree, with no predictor (``-``) and with each one exchanged."""
     trees = model.stages[-1].trees
-    rows = with_donor(df.where(F.col(target).isNotNull()), predictors, keys, seed, block_rows)
-    rows = store(rows, "donors")
-    prepared = PipelineModel(stages=model.stages[:-1]).transform(_variants(rows, target, predictors))
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(_variants(donors, target, predictors))
     prepared = prepared.select("variable", F.col(target).alias("_y"), FEATURES)
 
     def errors_of(first: int) -> DataFrame:
@@ -80,10 +69,14 @@ def permutation_importance(
             scored = trees[number].setFeaturesCol(FEATURES).setPredictionCol(f"_t{number}").transform(scored)
         gaps = {number: F.col("_y") - F.col(f"_t{number}") for number in numbers}
         means = scored.groupBy("variable").agg(*[F.avg(gap * gap).alias(f"_e{number}") for number, gap in gaps.items()])
-        entries = [F.struct(F.lit(number).alias("tree"), F.col(f"_e{number}").alias("mse")) for number in numbers]
+        entries = [F.struct(F.lit(number_from + number).alias("tree"), F.col(f"_e{number}").alias("mse")) for number in numbers]
         return store(means.select("variable", F.inline(F.array(*entries))), "tree_errors")
 
-    errors = reduce(DataFrame.unionByName, [errors_of(first) for first in range(0, len(trees), TREES_AT_ONCE)])
+    return reduce(DataFrame.unionByName, [errors_of(first) for first in range(0, len(trees), TREES_AT_ONCE)])
+
+
+def importance_of(errors: DataFrame, predictors: Sequence[str]) -> DataFrame:
+    """``variable, Overall, increase`` of trees' errors: mean increase over trees, in standard errors of that mean and as it is."""
     increases = errors.groupBy("tree").pivot("variable", [NONE, *predictors]).agg(F.first("mse"))
     long = increases.select("tree", *[(F.col(p) - F.col(NONE)).alias(p) for p in predictors]).unpivot(
         ["tree"], list(predictors), "variable", "increase"
@@ -93,6 +86,42 @@ def permutation_importance(
     return long.groupBy("variable").agg(F.try_divide(mean, deviation).alias("Overall"), mean.alias("increase"))
 
 
+def permutation_importance(
+    model: PipelineModel,
+    df: DataFrame,
+    target: str,
+    predictors: Sequence[str],
+    keys: Sequence[str],
+    seed: int = 42,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Importance of every predictor over ``df``, which should be rows the forest was not fitted on."""
+    donors = store(with_donor(df.where(F.col(target).isNotNull()), predictors, keys, seed, block_rows), "donors")
+    return importance_of(tree_errors(model, donors, target, predictors), predictors)
+
+
+def out_of_bag_importance(
+    bags: Sequence[PipelineModel],
+    train: DataFrame,
+    target: str,
+    predictors: Sequence[str],
+    keys: Sequence[str],
+    seed: int = 42,
+    block_rows: int = BLOCK_ROWS,
+    parallelism: int = 4,
+) -> DataFrame:
+    """Importance over the rows that each bag of ``fit_bags`` (with this seed) has not drawn, exchanged among themselves."""
+    unseen = [F.when(bag_weight(keys, b, seed) == 0, F.lit(b)) for b in range(len(bags))]
+    rows = train.where(F.col(target).isNotNull()).select(
+        *dict.fromkeys([*keys, target, *predictors]), F.explode(F.array_compact(F.array(*unseen))).alias("_bag"))
+    donors = store(with_donor(rows, predictors, keys, seed, block_rows, ["_bag"]), "donors")
+    each = len(bags[0].stages[-1].trees)
+    parts = in_pools(train.sparkSession, [
+        lambda b=b, m=m: tree_errors(m, donors.where(F.col("_bag") == b), target, predictors, b * each) for b, m in enumerate(bags)
+    ], parallelism)
+    return importance_of(reduce(DataFrame.unionByName, parts), predictors)
+
+
 def label_importance(importance: DataFrame) -> DataFrame:
     """Add the display name, family and rank (1 = most important) of each predictor."""
     entries = [F.struct(F.lit(v).alias("v"), F.lit(n).alias("varnames"), F.lit(c).alias("category"))

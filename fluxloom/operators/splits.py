@@ -49,14 +49,19 @@ def split_stratified(
     return join_null_safe(df, store(cuts, "cuts"), strata, "left").withColumn("split", side).drop("_cut")
 
 
+def in_quarter(value: Column, edges: list[float]) -> Column:
+    """1-4 by how many of the three edges lie below; null for null."""
+    steps = [F.when(value > F.lit(edge), 1).otherwise(0) for edge in edges]
+    return F.when(value.isNotNull(), F.lit(1) + steps[0] + steps[1] + steps[2])
+
+
 def target_quartile(df: DataFrame, target: str, name: str = "stratum") -> DataFrame:
     """Add the quarter of the target's distribution (1-4) a row falls in; null target, null quarter."""
     probs = [0.25, 0.5, 0.75]
     names = {("y", p): f"_q{int(p * 100)}" for p in probs}
     table = spread_percentiles(exact_percentiles(df, [], {"y": F.col(target)}, probs), [], names)
     edges = table.first()
-    steps = [F.when(F.col(target) > F.lit(edges[column]), 1).otherwise(0) for column in names.values()]
-    return df.withColumn(name, F.when(F.col(target).isNotNull(), F.lit(1) + steps[0] + steps[1] + steps[2]))
+    return df.withColumn(name, in_quarter(F.col(target), [edges[column] for column in names.values()]))
 
 
 def split_by_target(
@@ -86,20 +91,33 @@ def assign_folds(
     return folded.withColumnRenamed("_quarter", quarter) if quarter else folded.drop("_quarter")
 
 
+def fold_edges(places: DataFrame, strata: list[str], folds: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``edges`` of each stratum: the ``folds - 1`` hashes (``v``, ``w``) that its runs begin with."""
+    def ranks(n: Column) -> Column:
+        return F.array(*[F.floor(n * F.lit(k) / F.lit(folds)).cast("long") for k in range(1, folds)])
+
+    found = pair_at_rank(places, strata, ranks, rows_per_bucket).groupBy(*strata).agg(
+        F.collect_list(F.struct("rank", F.struct("v", "w").alias("at"))).alias("_at"), F.first("n").alias("n"))
+    # two edges at one rank (a stratum of fewer rows than folds) are two edges
+    at = F.transform(ranks(F.col("n")), lambda r: F.filter("_at", lambda e: e["rank"] == r)[0]["at"])
+    return store(found.select(*strata, at.alias("edges")), "fold_edges")
+
+
+def in_fold(place: Column, stratum: Column, edges: dict[object, list]) -> Column:
+    """0-based fold of a hash by the edges of its stratum, given as values."""
+    whens = None
+    for value, own in edges.items():
+        reached = [F.when(place >= F.struct(F.lit(e["v"]).alias("v"), F.lit(e["w"]).alias("w")), 1).otherwise(0) for e in own]
+        fold = sum(reached, F.lit(0))
+        whens = F.when(stratum == value, fold) if whens is None else whens.when(stratum == value, fold)
+    return F.lit(None).cast("int") if whens is None else whens
+
+
 def add_folds(
     df: DataFrame, strata: list[str], keys: list[str], folds: int = 3, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Add ``fold``: the rows of each stratum in ``folds`` runs of their hash."""
     place = hash_pair(keys, seed)
-    edges = pair_at_rank(
-        store(df.select(*strata, place["v"].alias("v"), place["w"].alias("w")), "places"), strata,
-        lambda n: F.array(*[F.floor(n * F.lit(k) / F.lit(folds)).cast("long") for k in range(1, folds)]), rows_per_bucket,
-    )
-    # edges beyond the first at one rank (strata of fewer rows than folds) count again
-    ranks = F.array(*[F.floor(F.col("n") * F.lit(k) / F.lit(folds)).cast("long") for k in range(1, folds)])
-    edges = edges.groupBy(*strata).agg(
-        F.collect_list(F.struct("rank", F.struct("v", "w").alias("at"))).alias("_at"), F.first("n").alias("n"))
-    edges = edges.select(*strata, F.flatten(F.transform(ranks, lambda r: F.transform(
-        F.filter("_at", lambda e: e["rank"] == r), lambda e: e["at"]))).alias("_edges"))
-    fold = F.size(F.filter("_edges", lambda edge: edge <= place))
-    return join_null_safe(df, store(edges, "fold_edges"), strata, "left").withColumn("fold", fold).drop("_edges")
+    places = store(df.select(*strata, place["v"].alias("v"), place["w"].alias("w")), "places")
+    fold = F.size(F.filter("edges", lambda edge: edge <= place))
+    return join_null_safe(df, fold_edges(places, strata, folds, rows_per_bucket), strata, "left").withColumn("fold", fold).drop("edges")

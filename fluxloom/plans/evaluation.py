@@ -62,6 +62,9 @@ def evaluate_models(
     for model in MODELS:
         importance = permutation_importance(models[model.target], test, model.target, predictors_of(model), KEYS)
         tables[f"importance_{model.target}"] = label_importance(store(importance, "importance"))
+    tables["trees"] = store(trees_table(spark, trained), "trees_table")
+    if trained.tuned:
+        tables["improvement"] = improvements(spark, trained, tables["trees"])
     return tables
 
 
@@ -77,14 +80,14 @@ def write_evaluation(
     return paths
 
 
-def trees_table(spark: SparkSession, trained: TrainedTables, tree_counts: tuple[int, ...] = (100, 500)) -> DataFrame:
+def trees_table(spark: SparkSession, trained: TrainedTables) -> DataFrame:
     """Training-set error of every model for each forest size."""
     split = read_table(spark, trained.split).where(F.col("split") == "train")
     rows = read_table(spark, trained.targets).join(split, KEYS, "left_semi")
-    return rmse_by_trees(rows, {trees: load_models(trained.models, trees) for trees in tree_counts})
+    return rmse_by_trees(rows, {trees: load_models(trained.models, trees) for trees in trained.tree_counts})
 
 
-def improvements(spark: SparkSession, trained: TrainedTables, tree_counts: tuple[int, ...] = (100, 500)) -> DataFrame:
+def improvements(spark: SparkSession, trained: TrainedTables, by_trees: DataFrame | None = None) -> DataFrame:
     """Error change from more trees, a tuned mtry and the hybrid model, from the saved models and tuning tables."""
     by_mtry = read_table(spark, tuning_path(trained, PURE.target))
-    return E.improvement_table(store(trees_table(spark, trained, tree_counts), "trees_table"), by_mtry)
+    return E.improvement_table(by_trees or store(trees_table(spark, trained), "trees_table"), by_mtry)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxloom import schema as S
 from fluxloom.forests.models import (
-    ForestSettings, best_mtry, fit_all, predictors_of, save_models, sweep_caps, tune_mtry,
+    ForestSettings, best_mtry, fit_all, predictors_of, save_models, sweep_caps, tune_grids,
 )
 from fluxloom.functions.hybrid import MODELS
 from fluxloom.operators.caps import add_capped_targets, best_caps, cap_grid, caps_as_numbers
@@ -31,6 +31,8 @@ class TrainedTables:
     targets: str
     models: str
     tuning: str
+    tree_counts: tuple[int, ...] = (100, 500)
+    tuned: bool = True
 
 
 def tuning_path(trained: TrainedTables, target: str) -> str:
@@ -53,7 +55,7 @@ def search_caps(
 
 def tune_all(train: DataFrame, settings: ForestSettings = ForestSettings()) -> dict[str, DataFrame]:
     """Cross-validated error table per target."""
-    return {m.target: tune_mtry(train, m.target, predictors_of(m), KEYS, settings=settings) for m in MODELS}
+    return tune_grids(train, {m.target: predictors_of(m) for m in MODELS}, KEYS, settings=settings)
 
 
 def train(
@@ -67,7 +69,7 @@ def train(
     caps_from: str = "all",
 ) -> TrainedTables:
     """Split, search caps, derive targets, tune mtry and fit every forest size."""
-    paths = TrainedTables(*[f"{output}/{part}" for part in ("split", "max_decision", "targets", "models", "tuning")])
+    paths = TrainedTables(*[f"{output}/{part}" for part in ("split", "max_decision", "targets", "models", "tuning")], tree_counts, tune)
     with scratch(spark):
         rows = read_table(spark, filtered)
         save_split(split_stratified(rows, ["site"], KEYS), KEYS, paths.split)

@@ -59,6 +59,10 @@ ORACLES["scan_parquet"] = with_sql(
     "analysed", f"SELECT site, obs_date, LE_CORR, {r6('PET_PM')} FROM analysed"
 )
 ORACLES["sink_roundtrip"] = with_sql("clean", "SELECT site, obs_date, USTAR, P_F FROM clean")
+ORACLES["versioned_rewrite"] = with_sql("clean", """
+SELECT 1 AS version, site, obs_date, USTAR, P_F FROM clean
+UNION ALL SELECT 2, site, obs_date, USTAR, P_F + 1 FROM clean WHERE USTAR IS NOT NULL
+UNION ALL SELECT 3, site, obs_date, USTAR, (P_F + 1) * 2 FROM clean WHERE USTAR IS NOT NULL AND k % 2 = 0""")
 ORACLES["numbered_rows"] = with_sql(
     "flux", 'SELECT row_number() OVER (ORDER BY site, obs_date) AS "row", site, obs_date, k FROM flux'
 )
@@ -432,9 +436,9 @@ SELECT quarter, fold, ((n * (fold + 1)) // 3 - (n * fold) // 3)::BIGINT AS n FRO
   FROM parted, (SELECT quantile_cont(LE_CORR, 0.25) AS a, quantile_cont(LE_CORR, 0.5) AS b, quantile_cont(LE_CORR, 0.75) AS c
                 FROM parted WHERE split = 'train')
   WHERE split = 'train' GROUP BY 1), (SELECT unnest([0, 1, 2]) AS fold)""")
-ORACLES["rf_cv_mtry"] = " UNION ALL ".join(
-    f"SELECT '{m.target}' AS target, unnest(range(1, {len(_predictors(m)) + 1}))::INT AS mtry, true AS scored" for m in MODELS
-)
+ORACLES["rf_cv_mtry"] = with_sql("parted", " UNION ALL ".join(f"""
+SELECT '{m.target}' AS target, unnest(range(1, {len(_predictors(m)) + 1}))::INT AS mtry, n, spread, true AS learns
+FROM (SELECT count({m.target}) AS n, {r6(f"stddev_pop({m.target})", 'spread')} FROM parted WHERE split = 'train')""" for m in MODELS))
 ORACLES["best_mtry"] = with_sql("parted", """
 SELECT 'made' AS target, min_by(mtry, (rmse, mtry)) AS mtry, min(rmse) AS rmse, true AS least FROM made
 UNION ALL """ + " UNION ALL ".join(f"SELECT '{t}', NULL, NULL, true" for t in _TARGETS), f"""
@@ -460,3 +464,13 @@ UNION ALL """ + " UNION ALL ".join(
 labels(variable, varnames, category) AS (VALUES {_LABELS})""", """
 made AS (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS variable, round(avg({c}), 6) AS Overall FROM parted WHERE split = 'train'" for c in S.PREDICTORS_WITH_ENERGY) + ")")
+
+_TRAIN = "FROM parted WHERE split = 'train'"
+ORACLES["rf_seeded"] = with_sql("parted", "SELECT split, count(*) AS n, count(*) AS n_equal FROM parted GROUP BY split")
+ORACLES["rmse_improvement_fits"] = with_sql("parted", f"""
+SELECT ImprovementType, n, spread, true AS within, CASE WHEN ImprovementType = 'b' THEN true END AS no_worse
+FROM (SELECT unnest(['a', 'b', 'c']) AS ImprovementType, n, spread
+      FROM (SELECT count(LE_CORR) AS n, {r6("stddev_pop(LE_CORR)", "spread")} {_TRAIN}))""")
+ORACLES["oob_importance"] = with_sql("parted", f"""
+SELECT variable, n, variable <> 'driver' AS below_driver, CASE WHEN variable = 'noise' THEN true END AS noise_is_small
+FROM (SELECT unnest({[*S.PREDICTORS_WITH_ENERGY, 'driver', 'noise']!r}) AS variable, count(*) AS n {_TRAIN})""")

@@ -26,7 +26,7 @@ from fluxloom.operators.boxplot import boxplot_outliers, boxplot_stats
 from fluxloom.operators.lookahead import fill_ahead, next_or_last, series_last
 from fluxloom.operators.splits import assign_folds, save_split, split_by_target
 from fluxloom.sources import daily_files as D
-from fluxloom.sources import sinks
+from fluxloom.sources import sinks, versions
 from fluxloom.sources.tables import read_satellite, read_site_metadata, read_table
 from fluxloom.storage import fresh_path, store
 from fluxloom.workbench import views as V
@@ -177,6 +177,19 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("site", F.to_date("day").alias("obs_date"), "USTAR", "P_F")
 
 
+@query
+def versioned_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table read, changed and written back under its own name twice; a frame read before still has the first version."""
+    path = fresh_path(spark, "versioned")
+    versions.write_version(V.clean(spark, sf_dir).select(*KEYS, "k", "USTAR", "P_F"), path)
+    first = versions.read_version(spark, path)
+    versions.write_version(first.where(F.col("USTAR").isNotNull()).withColumn("P_F", F.col("P_F") + 1), path, after=1)
+    second = versions.read_version(spark, path)
+    versions.write_version(second.where(F.col("k") % 2 == 0).withColumn("P_F", F.col("P_F") * 2), path, after=2)
+    tables = {1: first, 2: second, 3: versions.read_version(spark, path)}
+    return reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("version"), *KEYS, "USTAR", "P_F") for n, t in tables.items()])
+
+
 @query
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive row numbers in a global order, as the numbered CSV sink writes them."""
@@ -710,32 +723,23 @@ def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.groupBy("quarter", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-_made_tables: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
-
-
-def _once(make: Callable[[SparkSession, str], dict[str, DataFrame]]) -> Callable[[SparkSession, str], dict[str, DataFrame]]:
-    """Two queries show one set of fits: the stored tables of a session and folder are made once."""
-    def run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-        key = make.__name__, spark.sparkContext.applicationId, sf_dir
-        if key not in _made_tables:
-            _made_tables[key] = {name: store(table, make.__name__) for name, table in make(spark, sf_dir).items()}
-        return _made_tables[key]
-
-    return run
-
-
-@_once
-def _tuned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Cross-validated errors of every mtry of every target."""
-    train = store(_part(_forest_rows(spark, sf_dir), "train"), "tune_rows")
-    return {m.target: M.tune_mtry(train, m.target, M.predictors_of(m), KEYS, settings=_forests(100)) for m in MODELS}
+def _tuned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Rows, and cross-validated errors of every mtry of every target."""
+    train = _part(_forest_rows(spark, sf_dir), "train")
+    return train, M.tune_grids(train, {m.target: M.predictors_of(m) for m in MODELS}, KEYS, settings=_forests(100))
 
 
 @query
 def rf_cv_mtry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target and mtry: rows and spread of the target, and whether the forest is closer to it than its mean is."""
+    train, tables = _tuned(spark, sf_dir)
+    spreads = train.agg(*[F.stddev_pop(m.target).alias(m.target) for m in MODELS], *[F.count(m.target).alias(f"n_{m.target}") for m in MODELS])
+    spreads = store(spreads, "spreads")
     return reduce(DataFrame.unionByName, [
-        table.select(F.lit(target).alias("target"), "mtry", (_sound(F.col("rmse")) & (F.col("rmse") > 0)).alias("scored"))
-        for target, table in _tuned(spark, sf_dir).items()
+        table.crossJoin(spreads).select(  # one row on the right
+            F.lit(target).alias("target"), "mtry", F.col(f"n_{target}").alias("n"), F.round(target, 6).alias("spread"),
+            (F.col("rmse") < F.col(target)).alias("learns"))
+        for target, table in tables.items()
     ])
 
 
@@ -753,7 +757,7 @@ def best_mtry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The choice over a made table of errors, and over those of the fits."""
     made = M.best_mtry(_made_mtry(spark, sf_dir)).select(F.lit("made").alias("target"), "mtry", "rmse", F.lit(True).alias("least"))
     parts = [made]
-    for target, table in _tuned(spark, sf_dir).items():
+    for target, table in _tuned(spark, sf_dir)[1].items():
         best = M.best_mtry(table).select(F.col("mtry").alias("_mtry"), F.col("rmse").alias("_rmse"))
         checked = table.crossJoin(best).agg((  # one row on the right
             (F.min("rmse") == F.first("_rmse")) & (F.min(F.when(F.col("rmse") == F.col("_rmse"), F.col("mtry"))) == F.first("_mtry"))
@@ -811,7 +815,46 @@ def rmse_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.improvement_table(by_trees, by_mtry), "ImprovementValue", keep=["ImprovementType"])
 
 
-@_once
+@query
+def rf_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One forest fitted twice, from rows dealt out in two ways: how many predictions there are and how many agree."""
+    rows = store(_forest_rows(spark, sf_dir), "forest_rows")
+    train = _part(rows, "train")
+    first, second = (M.fit_forest(side, "LE_CORR", S.PREDICTORS_WITH_ENERGY, 3, _forests(100)) for side in (
+        train.repartition(3, "obs_date"), train.repartition(29, "site").sortWithinPartitions("LE_CORR")))
+    scored = M.predict(second, M.predict(first, rows).withColumnRenamed("LE_CORR_RF", "_first"))
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("LE_CORR_RF") - F.col("_first")) <= 1e-9).alias("n_equal"))
+
+
+@query
+def rmse_improvement_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Improvement table from forests of 100 and 500 trees and from the whole mtry grid: rows and spread, and bounds."""
+    rows = store(_part(_forest_rows(spark, sf_dir), "train"), "forest_rows")
+    by_trees = store(M.rmse_by_trees(rows, {trees: M.fit_all(rows, settings=_forests(trees), parallelism=4) for trees in (100, 500)}), "trees")
+    by_mtry = M.tune_grids(rows, {"LE_CORR": S.PREDICTORS_WITH_ENERGY}, KEYS, settings=_forests(100))["LE_CORR"]
+    spread = store(rows.agg(F.count("LE_CORR").alias("n"), F.stddev_pop("LE_CORR").alias("spread")), "spread")
+    value = F.col("ImprovementValue")
+    return E.improvement_table(by_trees, by_mtry).crossJoin(spread).select(  # one row on the right
+        "ImprovementType", "n", F.round("spread", 6).alias("spread"), (F.abs(value) < F.col("spread")).alias("within"),
+        F.when(F.col("ImprovementType") == "b", value <= 0).alias("no_worse"))
+
+
+@query
+def oob_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance over out-of-bag rows with a planted driver and a planted noise among the predictors."""
+    rows = store(_part(_forest_rows(spark, sf_dir), "train").withColumns({
+        "driver": F.col("LE_CORR") * 2 + 1, "noise": F.pmod(F.xxhash64(*KEYS), F.lit(10007)).cast("double")}), "forest_rows")
+    names = [*S.PREDICTORS_WITH_ENERGY, "driver", "noise"]
+    bags = M.fit_bags(rows, "LE_CORR", names, KEYS, 4, M.ForestSettings(trees=100, depth=5, bins=32))
+    found = store(I.out_of_bag_importance(bags, rows, "LE_CORR", names, KEYS), "importance")
+    n, increase = rows.count(), F.col("increase")
+    top = found.where(F.col("variable") == "driver").select(increase.alias("_top"))
+    return found.crossJoin(top).select(  # one row on the right
+        "variable", F.lit(n).cast("long").alias("n"), (increase < F.col("_top")).alias("below_driver"),
+        F.when(F.col("variable") == "noise", F.abs(increase) < 0.01 * F.col("_top")).alias("noise_is_small"))
+
+
 def _importance(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Importance of every predictor in each of the seven models."""
     rows = store(_forest_rows(spark, sf_dir), "forest_rows")

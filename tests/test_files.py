@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from fluxloom import schema as S
 from fluxloom.operators.clean import decode_yyyymmdd, satellite_product, sentinel_to_null
 from fluxloom.sources import daily_files as D
-from fluxloom.sources import sinks
+from fluxloom.sources import sinks, versions
 from fluxloom.sources.tables import read_satellite, read_site_metadata
 
 COLUMNS = ["TIMESTAMP", *S.MEASURED]
@@ -146,3 +146,25 @@ def test_byte_order_mark_quotes_and_spaces_in_headers(spark, folder):
     types = {"site": T.StringType(), "v": T.DoubleType()}
     got = sorted(map(tuple, D.read_by_name(spark, folder, types, {"w": T.StringType(), "none": T.StringType()}).drop(D.PATH).collect()), key=str)
     assert got == [("A,1", 2.0, "x"), ("B", None, "3"), ("C", 7.5, None), ("D", None, None)]
+
+
+def test_versions_survive_failed_and_late_writers(spark, folder):
+    path = os.path.join(folder, "table")
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, path)
+    assert versions.write_version(spark.range(4).toDF("k"), path) == 1
+    old = versions.read_version(spark, path)
+    assert versions.write_version(old.where("k > 0"), path) == 2
+    broken = versions.read_version(spark, path).select(F.raise_error(F.lit("no")).cast("long").alias("k"))
+    with pytest.raises(Exception, match="no"):
+        versions.write_version(broken, path)
+    assert versions.versions(spark, path) == [1, 2] and versions.read_version(spark, path).count() == 3 and old.count() == 4
+    assert versions.write_version(old.where("k > 2"), path, after=2) == 3
+    with pytest.raises(versions.VersionConflict):
+        versions.write_version(old, path, after=2)
+    assert versions.read_version(spark, path).count() == 1 and versions.read_version(spark, path, 2).count() == 3
+    versions.drop_versions(spark, path)
+    assert versions.versions(spark, path) == [3] and versions.read_version(spark, path).count() == 1
+    assert versions.write_version(versions.read_version(spark, path), path) == 4
+    assert sorted(n for n in os.listdir(path) if n.startswith("data-")) == sorted(
+        open(os.path.join(path, versions.LOG, f"{v:010d}")).read() for v in (3, 4))

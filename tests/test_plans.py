@@ -12,7 +12,7 @@ from fluxloom import schema as S
 from fluxloom.forests.models import ForestSettings, tune_mtry
 from fluxloom.plans import training
 from fluxloom.plans.daily_table import build_daily_table
-from fluxloom.plans.evaluation import improvements, trees_table, write_evaluation
+from fluxloom.plans.evaluation import write_evaluation
 from fluxloom.plans.training import train
 
 SITES = {"US-Aaa": "CRO", "US-Bbb": "OSH", "US-Ccc": "ENF", "US-Ddd": "SAV"}
@@ -92,5 +92,8 @@ def test_files_to_result_tables(spark, tmp_path, monkeypatch):
     best = tables["importance_LE_CORR"].orderBy("place").first()
     assert best["varnames"] in ("AE", "Rg", "SM", "FPAR")
     assert tables["r2_vs_rmse"].first()["n"] == 6
-    assert {r["ntree"] for r in trees_table(spark, trained, (2, 4)).collect()} == {2, 4}
-    assert {r["ImprovementType"] for r in improvements(spark, trained, (2, 4)).collect()} == {"a", "b", "c"}
+    assert {r["ntree"] for r in tables["trees"].collect()} == {2, 4}
+    gains = {r["ImprovementType"]: r["ImprovementValue"] for r in tables["improvement"].collect()}
+    assert set(gains) == {"a", "b", "c"} and gains["b"] <= 0
+    errors = {r["ntree"]: r["Pure_ML"] for r in tables["trees"].collect()}
+    assert gains["a"] == errors[4] - errors[2]
