@@ -18,7 +18,8 @@ every page is then decoded whole.
 **Text.** Character references are decoded, white space inside a block becomes one space, blocks are joined in page
 order by a line feed.
 
-Defined cases: null or empty HTML gives an empty text; scripts, styles and comments are never text; a page cut off
+Defined cases: null or empty HTML gives an empty text; if no sampled page has text, pages keep all but the elements that
+name themselves something else (``untrained_choice``); scripts, styles and comments are never text; a page cut off
 anywhere is read up to there; repeated rows give equal rows; an empty table gives an empty result; carried columns come
 first.
 """
@@ -49,6 +50,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split())
+TEXT = r"(^|>)\s*[^<\s]"  # something outside of tags
 SILENT = frozenset("script style template noscript head title svg iframe object select option textarea".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
@@ -349,8 +351,26 @@ class _Marked(Page):
 
 
 def _paragraphs(html: str) -> list[str]:
+    """Lines of a page's whole text: those of three words or more, or all of a page that has none."""
     page = Page(html)
-    return [line for line in page.text([True] * len(page.tag)).split("\n") if len(line.split()) >= 3]
+    lines = [line for line in page.text([True] * len(page.tag)).split("\n") if line]
+    return [line for line in lines if len(line.split()) >= 3] or lines
+
+
+def _is_poor(page: Page, i: int) -> bool:
+    """An element that names itself something else than main text."""
+    return bool(page.bad[i]) or page.tag[i] in ("aside", "nav", "form", "footer", "header") or page.tag[i] in SILENT
+
+
+def untrained_choice(page: Page) -> list[bool]:
+    """What to keep of a page when no page could teach: all but the elements that name themselves otherwise.
+
+    If nothing is left by that, all is kept, so a page that has text never loses all of it.
+    """
+    take = [True] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        take[i] = take[page.parent[i]] and not _is_poor(page, i)
+    return take if page.text(take) else [True] * len(page.tag)
 
 
 def _own_labels(html: str) -> tuple[Page, np.ndarray] | None:
@@ -362,8 +382,7 @@ def _own_labels(html: str) -> tuple[Page, np.ndarray] | None:
     inside = [False] * len(page.tag)
     for i in range(1, len(page.tag)):
         up = page.parent[i]
-        poor = page.bad[i] or page.tag[i] in ("aside", "nav", "form", "footer", "header") or page.tag[i] in SILENT
-        inside[i] = (i == article[0] or inside[up]) and not poor
+        inside[i] = (i == article[0] or inside[up]) and not _is_poor(page, i)
     y = np.array(inside, float)
     node = article[0]
     while node >= 0:
@@ -393,11 +412,11 @@ def train(pages: list[str], seed: int = SEED, layouts: int = LAYOUTS_EACH) -> bo
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> boosting.Trees | None:
-    """Train on the first ``sample`` pages by hash of their HTML; copies count once.
+    """Train on the first ``sample`` pages, by hash of their HTML, that have anything outside of tags; copies count once.
 
     Hashes alone are ordered, so tasks hand over numbers and only the sampled pages reach the driver.
     """
-    rows = pages.select(whole(pages["html"]).alias("html")).where("html <> ''").withColumn("h", F.xxhash64("html"))
+    rows = pages.select(whole(pages["html"]).alias("html")).where(F.col("html").rlike(TEXT)).withColumn("h", F.xxhash64("html"))
     last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return None
@@ -412,7 +431,7 @@ def main_text(html: str | None, trees: boosting.Trees | None) -> str:
 def main_texts(pages: list[str | None], trees: boosting.Trees | None) -> list[str]:
     parsed = [Page(html or "") for html in pages]
     if trees is None:
-        return ["" for _ in parsed]
+        return [page.text(untrained_choice(page)) for page in parsed]
     rows = [features(page) for page in parsed]
     scores = trees.log_odds(np.concatenate(rows))
     out, at = [], 0

@@ -190,6 +190,24 @@ def test_pages_without_anything(spark, trees):
     assert pages.extracted(none, ["page_id"], pages.fit(none)).count() == 0
 
 
+@pytest.mark.parametrize("lines", ["Hello world{}", "Word{}"])
+def test_short_pages_keep_their_text(spark, lines):
+    rows = [(i, f"<article><p>{lines.format(i)}</p></article>") for i in range(150)]
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extracted(frame, ["page_id"], pages.fit(frame)).collect()}
+    assert got == {i: lines.format(i) for i in range(150)}
+
+
+def test_pages_that_cannot_teach(spark):
+    """Markup without text does not fill the sample; without any model the named parts still go."""
+    rows = [(i, f"<div id='d{i}'></div>") for i in range(400)] + [(1000, "<nav>Menu</nav><div>The only text here</div>")]
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extracted(frame, ["page_id"], pages.fit(frame)).collect()}
+    assert "The only text here" in got.pop(1000) and set(got.values()) == {""}
+    assert pages.main_text("<nav>Menu</nav><p>Some text</p><script>x</script>", None) == "Some text"
+    assert pages.main_text("<nav>Menu</nav>", None) == "Menu"
+
+
 # ---------------------------------------------------------------- registered queries and the pipeline
 
 
