@@ -221,7 +221,7 @@ def test_query_equals_its_sql(spark, connection, name):
     assert check_queries.compare(spark, connection, SF, name) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(ORACLES) - {"pipeline"}))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(ORACLES) - {"pipeline", "op11_whitening"}))  # op11 has rows per component
 def test_query_answers_for_every_row(spark, name):
     table, key = ("pages", "page_id") if name.startswith("op10") else ("documents", "doc_id")
     rows = REGISTRY[name](spark, SF).select(key).collect()
