@@ -1,4 +1,4 @@
-"""Equi joins by site and day, and the split-membership semi and anti joins."""
+"""Equi joins by site and day, and the anti join against a stored split."""
 
 from __future__ import annotations
 
@@ -42,11 +42,6 @@ def add_land_cover(df: DataFrame, metadata: DataFrame) -> DataFrame:
     return df.join(metadata, "site", "left").withColumn("IGBP2", land_cover_group(F.col("IGBP")))
 
 
-def in_split(df: DataFrame, membership: DataFrame, part: str, keys: list[str]) -> DataFrame:
-    """Rows of ``df`` whose key the saved membership lists under ``part``."""
-    return df.join(membership.where(F.col("split") == part).select(*keys), keys, "left_semi")
-
-
 def outside_split(df: DataFrame, membership: DataFrame, part: str, keys: list[str]) -> DataFrame:
     """Rows of ``df`` whose key the saved membership does not list under ``part``."""
     return df.join(membership.where(F.col("split") == part).select(*keys), keys, "left_anti")
