@@ -37,6 +37,7 @@ class Plain:
         self.n = sum(self.words.values())
         counts = [Counter(x.values()) for x in (self.forerunners, self.pairs)]
         self.low, self.high = (kneser.discounts(*(c[k] for k in (1, 2, 3, 4))) for c in counts)
+        self.left = sum(self.cut(n, self.low) for n in self.forerunners.values())
 
     @staticmethod
     def cut(n, by):
@@ -45,9 +46,8 @@ class Plain:
     def lowest(self, w):
         if not self.pairs:
             return 1.0
-        left = sum(self.cut(n, self.low) for n in self.forerunners.values())
         n = self.forerunners[w]
-        return (n - self.cut(n, self.low) + left / (len(self.words) + 1)) / len(self.pairs)
+        return (n - self.cut(n, self.low) + self.left / (len(self.words) + 1)) / len(self.pairs)
 
     def probability(self, u, w):
         if not self.words[u]:
