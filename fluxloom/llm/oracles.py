@@ -78,27 +78,30 @@ FROM shares JOIN verdicts USING (rid)
 
 ORACLES["op3_tool_calls"] = r"""
 WITH chats AS (
-    SELECT conv_id, turn, role, length(text)::BIGINT AS n, substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 24) AS letters
-    FROM conversations WHERE text IS NOT NULL
+    SELECT conv_id, turn, role, text, length(text)::BIGINT AS n, CASE WHEN text IS NOT NULL THEN to_json(text)::VARCHAR END AS whole
+    FROM conversations
 ), calls AS (
     SELECT conv_id, turn, n, 'c' || conv_id || '-' || turn AS call_id, turn // 2 AS needs,
         CASE turn % 4 WHEN 1 THEN 'measure' WHEN 2 THEN 'translate' ELSE 'search' END AS name,
-        CASE WHEN turn > 0 THEN '"after":"${c' || conv_id || '-' || (turn // 2) || '}",' ELSE '' END AS after, letters
+        CASE WHEN turn > 0 THEN '"after":"${c' || conv_id || '-' || (turn // 2) || '}"' END AS after, whole
     FROM chats WHERE role = 'user'
 ), replies AS (
-    SELECT conv_id, turn, n, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM chats WHERE role = 'assistant'
+    SELECT conv_id, turn, whole, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM chats WHERE role = 'assistant'
 ), filled AS (
-    SELECT *, CASE name
-        WHEN 'search' THEN '{' || after || '"limit":' || (n % 60) || ',"query":"' || letters || '"}'
-        WHEN 'measure' THEN '{' || after || CASE WHEN n % 5 = 0 THEN '"size":"' || n || '"' ELSE '"length":' || n END || ',"unit":"'
-            || CASE WHEN n % 2 = 0 THEN 'words' WHEN n % 3 = 0 THEN 'bytes' ELSE 'chars' END || '"}'
-        ELSE '{"rate":1.5,"target":"en","text":"' || letters || '"}' END AS arguments,
-        CASE name
-        WHEN 'search' THEN CASE WHEN n % 60 < 1 OR n % 60 > 50 THEN ['range:limit'] ELSE [] END
-        WHEN 'measure' THEN list_concat(list_concat(
-            CASE WHEN n % 5 = 0 THEN ['missing:length'] ELSE [] END,
-            CASE WHEN n % 2 <> 0 AND n % 3 = 0 THEN ['option:unit'] ELSE [] END), CASE WHEN n % 5 = 0 THEN ['unknown:size'] ELSE [] END)
-        ELSE ['unknown:rate'] END AS errors
+    SELECT *, '{' || CASE name
+        WHEN 'search' THEN concat_ws(',', after, '"limit":' || (n % 60), '"query":' || whole)
+        WHEN 'measure' THEN concat_ws(',', after, CASE WHEN n % 5 <> 0 THEN '"length":' || n END,
+            CASE WHEN n % 5 = 0 THEN '"size":"' || n || '"' END,
+            '"unit":"' || CASE WHEN n % 2 = 0 THEN 'words' WHEN n % 3 = 0 THEN 'bytes' ELSE 'chars' END || '"')
+        ELSE concat_ws(',', '"rate":1.5,"target":"en"', '"text":' || whole) END || '}' AS arguments,
+        concat_ws(',',
+            CASE WHEN name = 'search' AND whole IS NULL THEN 'missing:query' END,
+            CASE WHEN name = 'search' AND n % 60 NOT BETWEEN 1 AND 50 THEN 'range:limit' END,
+            CASE WHEN name = 'measure' AND (n IS NULL OR n % 5 = 0) THEN 'missing:length' END,
+            CASE WHEN name = 'measure' AND n % 2 <> 0 AND n % 3 = 0 THEN 'option:unit' END,
+            CASE WHEN name = 'measure' AND n % 5 = 0 THEN 'unknown:size' END,
+            CASE WHEN name = 'translate' AND whole IS NULL THEN 'missing:text' END,
+            CASE WHEN name = 'translate' THEN 'unknown:rate' END) AS errors
     FROM calls
 ), edges AS (
     SELECT c.conv_id, c.turn, p.turn AS parent FROM calls c JOIN calls p ON c.conv_id = p.conv_id AND c.needs = p.turn AND c.turn > 0
@@ -111,15 +114,18 @@ WITH chats AS (
     ) SELECT conv_id, turn, max(steps)::INT AS level FROM up GROUP BY ALL
 )
 SELECT f.conv_id, f.call_id, f.name, f.turn AS call_turn, 0 AS place, r.turn AS result_turn, 1::BIGINT AS same_id,
-    CASE WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, w.level, array_to_string(errors, ',') AS errors,
-    len(errors) = 0 AS valid,
+    CASE WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, w.level, errors, errors = '' AS valid,
     '{"arguments":' || arguments || ',"id":"' || f.call_id || '","name":"' || name || '"'
-        || CASE WHEN r.turn IS NULL THEN '' ELSE ',"result":"' || r.n || ' characters"' END || '}' AS canonical
+        || coalesce(',"result":' || r.whole, '') || '}' AS canonical
 FROM filled f JOIN walk w ON f.conv_id = w.conv_id AND f.turn = w.turn
 LEFT JOIN replies r ON r.conv_id = f.conv_id AND r.call_id = f.call_id
 UNION ALL
 SELECT r.conv_id, r.call_id, NULL, NULL, NULL, r.turn, 0, 'no_call', NULL, '', true, NULL
 FROM replies r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+UNION ALL
+SELECT conv_id, NULL, NULL, turn, NULL, NULL, 0, 'prose', NULL, '', true,
+    '{' || concat_ws(',', '"role":' || CASE WHEN role IS NOT NULL THEN to_json(role)::VARCHAR END, '"text":' || whole) || '}'
+FROM chats WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 ORACLES["op4_exact_topk"] = """

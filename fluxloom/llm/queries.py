@@ -141,30 +141,30 @@ TOOLS: toolcalls.Schemas = {
 def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chats as an agent's: every user turn becomes a call, every reply the result of the turn before.
 
-    A call refers to that of turn ``turn div 2``; some arguments break their schema.
+    Calls and results hold the whole texts; other turns stay prose, and a null text leaves out what it would fill. A call
+    refers to that of turn ``turn div 2``; some arguments break their schema.
     """
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     length = F.length("text")
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
-    letters = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 24)
     after = F.when(F.col("turn") > 0, F.concat(F.lit("${"), name(F.floor(F.col("turn") / 2)), F.lit("}")))
-    search = F.to_json(F.struct(letters.alias("query"), (length % 60).alias("limit"), after.alias("after")))
+    search = F.to_json(F.struct(F.col("text").alias("query"), (length % 60).alias("limit"), after.alias("after")))
     measure = F.to_json(F.struct(
         after.alias("after"), F.when(length % 2 == 0, "words").when(length % 3 == 0, "bytes").otherwise("chars").alias("unit"),
         F.when(length % 5 == 0, length.cast("string")).alias("size"), F.when(length % 5 != 0, length).alias("length")))
-    translate = F.to_json(F.struct(F.lit("en").alias("target"), letters.alias("text"), F.lit(1.50).alias("rate")))
+    translate = F.to_json(F.struct(F.lit("en").alias("target"), "text", F.lit(1.50).alias("rate")))
     kind = F.col("turn") % 4
     tool = F.when(kind == 0, "search").when(kind == 1, "measure").when(kind == 2, "translate").otherwise("search")
     arguments = F.when(tool == "search", search).when(tool == "measure", measure).otherwise(translate)
     call = F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), tool.alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
-    result = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.concat(length, F.lit(" characters")).alias("content")))
+    result = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
     user = F.col("role") == "user"
-    return chats.where("text is not null").select(
+    return chats.select(
         "conv_id", "turn", F.when(user, "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
         F.when(user, call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))
 
 
 @query
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every call with its result, level, errors and canonical JSON."""
+    """Every call with its result, level, errors and canonical JSON, and every other turn."""
     return toolcalls.formatted(tool_messages(spark, sf_dir), TOOLS)

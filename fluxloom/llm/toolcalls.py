@@ -2,7 +2,7 @@
 
 Messages are ``(conv_id, turn, role, text)``. A message of role ``assistant`` whose text is ``{"tool_calls": [{"id", "name",
 "arguments"}, ...]}`` makes calls; one of role ``tool`` whose text is ``{"tool_call_id", "content"}`` is a result. Any other
-text is prose.
+message is prose: one row of status ``prose`` with its turn as ``call_turn`` and its role and whole text as canonical JSON.
 
 * **Link**: the turns of a (conversation, identifier) stand in blocks; each call's turn gets the next result by two short
   windows, and calls are joined with that one row, never with all results of their identifier. ``status`` is ``linked``, ``no_result``,
@@ -16,7 +16,10 @@ text is prose.
   outside bounds or options; arguments that are no JSON object are ``not_an_object``.
 * **Canonical JSON**: keys in order, no spaces, numbers in shortest form.
 
-Defined cases: null conversations, turns and roles are values like any other (null texts hold no call); calls without an
+Contents are whole; the windows carry turns only, and a content joins its call at the end. A value beyond Spark's limit for
+parsed JSON is ``not_an_object``.
+
+Defined cases: null conversations, turns and roles are values like any other (null texts are prose without a text); calls without an
 identifier link to nothing and get level 0 or that of what they wait for; repeated messages repeat their rows; very
 long texts and conversations need nothing held together; an empty table gives an empty result. Only the four named
 columns are read.
@@ -67,8 +70,16 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def prose(messages: DataFrame) -> DataFrame:
+    """Messages that make no call and are no result."""
+    rows = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    makes = (F.col("role") == "assistant") & F.col("text").startswith("{") & (F.size(F.from_json("text", CALLS)["tool_calls"]) > 0)
+    ends = (F.col("role") == "tool") & F.col("text").startswith("{") & F.from_json("text", RESULT)["tool_call_id"].isNotNull()
+    return rows.where(~F.coalesce(makes, F.lit(False)) & ~F.coalesce(ends, F.lit(False)))
+
+
 def following(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(n_conv, n_id, n_turn, result) of every (conversation, identifier, turn) of a call that a result follows, once.
+    """(n_conv, n_id, n_turn, next_turn) of every (conversation, identifier, turn) of a call that a result follows, once.
 
     Calls and results of one turn are one point, so a hot identifier has as many points as turns. The next result is
     looked for in the point's block of turns, then among the first results of later blocks.
@@ -76,9 +87,9 @@ def following(calls: DataFrame, results: DataFrame) -> DataFrame:
     key = ["n_conv", "n_id", "n_turn"]
     kind = calls.schema["call_turn"].dataType
     block = F.floor(F.col("n_turn") / BLOCK) if isinstance(kind, T.NumericType) else F.lit(0).cast("long")
-    ends = results.where("call_id is not null and result_turn is not null").groupBy(
-        F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_id"), F.col("result_turn").alias("n_turn")).agg(
-        F.min(F.struct("result_turn", "content")).alias("here"))
+    ends = results.where("call_id is not null and result_turn is not null").select(
+        F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_id"), F.col("result_turn").alias("n_turn"),
+        F.col("result_turn").alias("here")).distinct()
     starts = calls.where("call_id is not null and call_turn is not null").select(
         F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_id"), F.col("call_turn").alias("n_turn")).distinct()
     points = starts.withColumns({"asks": F.lit(True), "here": F.lit(None).cast(ends.schema["here"].dataType)}).unionByName(
@@ -92,7 +103,7 @@ def following(calls: DataFrame, results: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("far", far).where("far is not null").drop("first")
     asked = points.where("asks").join(
         blocks, F.col("n_conv").eqNullSafe(F.col("b_conv")) & (F.col("n_id") == F.col("b_id")) & (F.col("block") == F.col("b_block")), "left")
-    return asked.select(*key, F.coalesce("near", "far").alias("result")).where("result is not null")
+    return asked.select(*key, F.coalesce("near", "far").alias("next_turn")).where("next_turn is not null")
 
 
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -105,13 +116,17 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     next_ = store(following(calls, results), "calls-results")
     with_call = numbered.join(
         next_, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("call_id") == F.col("n_id")) & (F.col("call_turn") == F.col("n_turn")), "left"
-    ).withColumn("status", F.when(F.col("result").isNotNull(), "linked").when(
+    ).withColumn("status", F.when(F.col("next_turn").isNotNull(), "linked").when(
         F.col("call_id").isNotNull() & (F.col("n_results") > 0), "early_result").otherwise("no_result"))
+    contents = results.where("call_id is not null and result_turn is not null").groupBy(
+        F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), "result_turn").agg(F.min(F.struct("content")).alias("result"))
+    with_call = with_call.join(
+        contents, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("next_turn") == F.col("result_turn")), "left")
     alone = results.join(
         by_id.where("same_id > 0"), F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("call_id") == F.col("k_id")), "left_anti")
     return with_call.select(
         "conv_id", "call_id", "name", "arguments", "call_turn", "place", "same_id", "status",
-        F.col("result.result_turn").alias("result_turn"), F.col("result.content").alias("content"),
+        "result_turn", F.col("result.content").alias("content"),
     ).unionByName(alone.select(
         "conv_id", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"),
         F.lit(None).cast(calls.schema["call_turn"].dataType).alias("call_turn"), F.lit(None).cast("int").alias("place"),
@@ -200,13 +215,17 @@ def canonical(rows: DataFrame) -> Column:
 
 
 def formatted(messages: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call, and per result without one."""
+    """One row per call, per result without one, and per message of prose."""
     calls, results = calls_and_results(messages)
     calls = store(calls, "tool-calls")
     order = levels(calls)
     rows = validated(linked(calls, results), schemas)
     rows = rows.alias("n").join(order.alias("e"), _same("n.call_id", "e.call_id"), "left").select("n.*", "e.level")
-    return rows.select(
+    made = rows.select(
         "conv_id", "call_id", "name", "call_turn", "place", "result_turn", "same_id", "status",
         F.when((F.col("status") != "no_call") & F.col("call_id").isNull(), 0).otherwise(F.col("level")).alias("level"),
         F.array_join("errors", ",").alias("errors"), (F.size("errors") == 0).alias("valid"), canonical(rows).alias("canonical"))
+    told = prose(messages).select(
+        "conv_id", F.col("turn").alias("call_turn"), F.lit("prose").alias("status"), F.lit(0).cast("long").alias("same_id"),
+        F.lit("").alias("errors"), F.lit(True).alias("valid"), F.to_json(F.struct("role", "text")).alias("canonical"))
+    return made.unionByName(told, allowMissingColumns=True)

@@ -40,7 +40,11 @@ def test_tool_calls(spark):
         call(3, 2, ("s", "search", "no json")), (4, None, "assistant", None), (None, 1, "tool", "{broken"), (5, 1, "assistant", "{}"),
     ]
     messages = spark.createDataFrame(rows + rows[:1], "conv_id long, turn long, role string, text string").withColumn("level", F.lit(1))
-    got = {(r["conv_id"], r["call_id"], r["call_turn"]): r for r in toolcalls.formatted(messages, TOOLS).collect()}
+    found = toolcalls.formatted(messages, TOOLS).collect()
+    told = sorted(((r["conv_id"], r["call_turn"], r["canonical"]) for r in found if r["status"] == "prose"), key=repr)
+    assert told == sorted([(1, 0, '{"role":"user","text":"hello"}')] * 2 + [
+        (4, None, '{"role":"assistant"}'), (None, 1, '{"role":"tool","text":"{broken"}'), (5, 1, '{"role":"assistant","text":"{}"}')], key=repr)
+    got = {(r["conv_id"], r["call_id"], r["call_turn"]): r for r in found if r["status"] != "prose"}
     assert len(got) == 10
     status = {k: r["status"] for k, r in got.items()}
     assert status[1, "b", 2] == "linked" and got[1, "b", 2]["result_turn"] == 3
@@ -66,6 +70,29 @@ def test_tool_calls_in_a_long_chain_and_of_nothing(spark):
     assert toolcalls.formatted(messages.where("false"), TOOLS).count() == 0
 
 
+def test_whole_texts_reach_the_canonical_json(spark, tmp_path):
+    odd = 'say "no"\\ then\n\r\t\b\f\x01\x1f\x7f </a> é ß 日本語 𝄞 😀 ${c1-0} \u2028 \ufeff'
+    long = "".join(random.Random(3).choice('abc "\\\né😀') for _ in range(2_000_000))
+    texts = [odd, long, None, "", "  ", "null", '{"tool_calls": []}']
+    rows = [(c, t, ("system", "user", "assistant", None)[(t + c) % 4], texts[(t * 3 + c) % 7]) for c in range(4) for t in range(14)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = REGISTRY["op3_tool_calls"](spark, str(tmp_path)).toArrow()
+    db = duckdb.connect()
+    db.execute(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    names = ", ".join(got.column_names)
+    want = db.sql(f"select {names} from ({ORACLES['op3_tool_calls']})").fetchall()
+    have = [tuple(r[n] for n in got.column_names) for r in got.to_pylist()]
+    assert len(have) == len(rows) - sum(r["status"] == "linked" for r in got.to_pylist())
+    assert sorted(have, key=repr) == sorted(want, key=repr)
+    for r in got.to_pylist():
+        held = json.loads(r["canonical"] or "{}")
+        text = {(c, t): x for c, t, _, x in rows}.get((r["conv_id"], r["call_turn"]))
+        if r["status"] == "prose":
+            assert held.get("text") == text
+        elif r["name"] == "search" or r["name"] == "translate":
+            assert held["arguments"].get("query" if r["name"] == "search" else "text") == text
+
+
 # ---------------------------------------------------------------- top-k
 
 
