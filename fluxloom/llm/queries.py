@@ -75,7 +75,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest, and all spans with those that the network adds."""
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, ["doc_id"], secrets.fit(docs))
+    return secrets.scan(docs, ["doc_id"], secrets.fit(docs)).select("row.doc_id", *secrets.RESULT)
 
 
 @query

@@ -231,7 +231,7 @@ def test_scan_counts_and_digest(spark):
     import hashlib
 
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    rows = secrets.scan(docs, ["doc_id"], None).orderBy("doc_id").collect()
+    rows = secrets.scan(docs, ["doc_id"], None).orderBy("row.doc_id").collect()
     assert [(r["n_assign"], r["n_access"], r["n_hex"]) for r in rows] == [
         (2, 0, 0), (0, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (1, 0, 0), (1, 0, 1)]
     for r, text in zip(rows, TEXTS):
@@ -249,6 +249,8 @@ def test_secrets_of_hard_and_no_documents(hard, nothing):
     network = secrets.fit(hard)
     assert secrets.masked(hard, network).select("text").collect() == hard.select("text").collect()
     assert secrets.scan(nothing, ["doc_id"], secrets.fit(nothing)).count() == 0
+    carried = secrets.scan(hard, ["doc_id", "spans"], network).select("row.spans").distinct().collect()
+    assert [r["spans"] for r in carried] == ["spans"]
 
 
 # ---------------------------------------------------------------- token shards
