@@ -2,15 +2,16 @@
 
 **Index.** Vectors are whole numbers. One coordinate more, ``sqrt(M^2 - |x|^2)``, gives all of them the norm ``M`` and a
 query keeps 0 there; a higher score is then a smaller distance: ``d^2 = |q|^2 + M^2 - 2 q.x``. Every vector is keyed by its
-nearest pivot and its distance to it. Pivots are ``PIVOTS`` vectors, first by hash (a bounded sample; every vector is
-indexed). A pivot's vectors are cut into chunks of about ``CHUNK`` rows, so a pivot that attracts a third of all rows
+nearest pivot and its distance to it. There is a pivot for every ``CHUNK`` rows, ``PIVOTS`` at least and ``MOST_PIVOTS`` at
+most: vectors that are first by hash (a bounded sample; every vector is indexed). A pivot's vectors are cut into chunks of about ``CHUNK`` rows, so a pivot that attracts a third of all rows
 just has more chunks, and a chunk sorts its rows by distance into annuli of ``ANNULUS`` rows.
 
 **Search.** By the triangle inequality a vector at distance ``r`` from its pivot is ``|d(q, p) - r|`` away from the query at
 least, which bounds its score. A query first searches its nearest pivot's chunks, which gives a lower bound of its
 ``k``-th score; then it goes to the other pivots whose bound reaches that score. In a chunk, annuli are expanded from the
 query's distance outwards and the search stops at the first whose bound lies below the ``k``-th score. Chunks of queries
-and of vectors meet by a shuffle; scores are exact integer products of blocks.
+and of vectors meet by a shuffle; scores are exact integer products of blocks. A chunk that no query visits is not moved, and a
+visited one is copied once for every ``QUERIES`` queries that visit it, so what is shuffled follows the visits.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows without id and
 vectors of another length than the most frequent (then longest) one; a query has no result if it is alone; rows with
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.storage import store
 
-PIVOTS = 32
+PIVOTS, MOST_PIVOTS = 32, 4096
 CHUNK = 4096
 ANNULUS = 512
 QUERIES = 4096
@@ -134,10 +135,23 @@ def search_chunk(space: Space, pivot: int, ids, v, r, q_ids, q, floor, k: int):
     return rows, scores, found
 
 
-def _searched(index: DataFrame, queries: DataFrame, space: Space, dim: int, k: int, n_queries: int) -> DataFrame:
-    """Chunks of vectors and of queries meet; ``queries`` has one row per query and (pivot, chunk) to visit."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(max(0, n_queries - 1))))
-    left = index.select("pivot", "chunk", parts.alias("part"), "vec_id", "v", "r")
+def copies_of_chunks(visits: DataFrame) -> DataFrame:
+    """(pivot, chunk, copies) of the visited chunks: one copy for every ``QUERIES`` visits, or part of them."""
+    return visits.groupBy("pivot", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("copies"))
+
+
+def copied(index: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows of the visited chunks, once for each ``part`` of the queries that visit theirs."""
+    parts = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    return index.join(copies, ["pivot", "chunk"]).select("pivot", "chunk", parts.alias("part"), "vec_id", "v", "r")
+
+
+def _searched(index: DataFrame, visits: DataFrame, space: Space, dim: int, k: int) -> DataFrame:
+    """Chunks of vectors and of queries meet; ``visits`` has one row per query and (pivot, chunk) to visit."""
+    copies = store(copies_of_chunks(visits), "topk-copies")
+    left = copied(index, copies)
+    part = F.pmod(F.xxhash64("vec_id", "query_key"), F.col("copies")).cast("int")
+    queries = visits.join(copies, ["pivot", "chunk"]).withColumn("part", part).drop("copies")
     keys = ["pivot", "chunk", "part"]
 
     def run(key, vectors: pa.Table, asked: pa.Table) -> pa.Table:
@@ -164,8 +178,11 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, scale: int = 64, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of every query; ``is_query`` is a condition on ``vec_id``."""
+def top_k(vectors: DataFrame, is_query: Column, scale: int = 64, k: int = 20, pivots: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of every query; ``is_query`` is a condition on ``vec_id``.
+
+    ``pivots`` is their number; without it, it follows the number of rows.
+    """
     spark = vectors.sparkSession
     usable = store(whole_numbers(vectors, scale), "topk-vectors")
     lengths = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()
@@ -174,6 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, scale: int = 64, k: int = 20, pi
     dim = lengths["n"]
     usable = usable.where(F.size("v") == dim)
     square = usable.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
+    pivots = pivots or min(max(PIVOTS, -(-lengths["count"] // CHUNK)), MOST_PIVOTS)
     first = usable.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(pivots).collect()
     space = Space(np.array([r["v"] for r in first], np.int64), float(square))
     index = store(indexed(usable, space, dim), "topk-index")
@@ -182,12 +200,11 @@ def top_k(vectors: DataFrame, is_query: Column, scale: int = 64, k: int = 20, pi
     low, high = np.full(len(first), np.inf), np.full(len(first), np.inf)
     for r in ranges:
         low[r["pivot"]], high[r["pivot"]] = r["low"], r["high"]
-    per_pivot = F.element_at(F.array(*[F.lit(chunks.get(p, 1)) for p in range(len(first))]), F.col("pivot") + 1)
+    numbers = F.split(F.lit(",".join(str(chunks.get(p, 1)) for p in range(len(first)))), ",").cast("array<int>")
+    per_pivot = F.element_at(numbers, F.col("pivot") + 1)
     index = index.withColumn("chunk", F.pmod(F.xxhash64("slot"), per_pivot).cast("int"))
     asked = usable.where(is_query).withColumn("query_key", F.xxhash64("v")).dropDuplicates(["vec_id", "query_key"])
     asked = store(asked, "topk-queries")
-    parts = -(-asked.count() // QUERIES)
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "query_key"), F.lit(max(parts, 1))).cast("int"))
 
     def visits(rows: DataFrame, home: bool) -> DataFrame:
         """One row per query and chunk: of its nearest pivot, or of all others that may hold a score from ``floor`` on."""
@@ -197,7 +214,7 @@ def top_k(vectors: DataFrame, is_query: Column, scale: int = 64, k: int = 20, pi
                 distance = space.of_queries(q)
                 open_ = np.where(np.isfinite(low), distance, np.inf)
                 nearest = open_.argmin(axis=1)
-                floors = batch.column(4).to_numpy()
+                floors = batch.column(3).to_numpy()
                 if home:
                     row, pivot = np.arange(len(q)), nearest
                 else:
@@ -212,16 +229,16 @@ def top_k(vectors: DataFrame, is_query: Column, scale: int = 64, k: int = 20, pi
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [*taken.columns, pa.array(pivot.astype(np.int32)), pa.array(chunk.astype(np.int32))],
-                    names=["vec_id", "v", "query_key", "part", "floor", "pivot", "chunk"])
+                    names=["vec_id", "v", "query_key", "floor", "pivot", "chunk"])
 
-        return rows.select("vec_id", "v", "query_key", "part", "floor").mapInArrow(
-            run, "vec_id long, v array<long>, query_key long, part int, floor long, pivot int, chunk int")
+        return rows.select("vec_id", "v", "query_key", "floor").mapInArrow(
+            run, "vec_id long, v array<long>, query_key long, floor long, pivot int, chunk int")
 
     least = F.lit(-(1 << 62)).cast("long")
-    near = _searched(index, visits(asked.withColumn("floor", least), True), space, dim, k, parts)
+    near = _searched(index, visits(asked.withColumn("floor", least), True), space, dim, k)
     near = store(_ranked(near, k), "topk-near")
     floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("query_key").alias("key"), F.col("score").alias("kth"))
     bounded = asked.join(floors, (F.col("vec_id") == F.col("id")) & (F.col("query_key") == F.col("key")), "left").withColumn(
-        "floor", F.coalesce("kth", least))
-    far = _searched(index, visits(bounded, False), space, dim, k, parts)
+        "floor", F.coalesce("kth", least)).select("vec_id", "v", "query_key", "floor")
+    far = _searched(index, visits(store(bounded, "topk-bounded"), False), space, dim, k)
     return _ranked(near.drop("rank").unionByName(far), k).select("query_id", "rank", "vec_id", "score")

@@ -132,6 +132,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch, case):
     assert set(got) == brute_top(rows)
 
 
+def test_only_visited_chunks_are_copied_and_as_often_as_their_queries_need(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    index = spark.createDataFrame([(p, c, 100 * p + 10 * c + n, [n], 0.5) for p in range(3) for c in range(2) for n in range(5)],
+                                  "pivot int, chunk int, vec_id long, v array<long>, r double")
+    visits = spark.createDataFrame([(0, 1)] * 9 + [(2, 0)] * 4, "pivot int, chunk int")
+    rows = topk.copied(index, topk.copies_of_chunks(visits)).groupBy("pivot", "chunk", "part").count().collect()
+    assert {tuple(r) for r in rows} == {(0, 1, 0, 5), (0, 1, 1, 5), (0, 1, 2, 5), (2, 0, 0, 5)}
+
+
+def test_pivots_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 8)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rows = vectors(4, 600, 4)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()} == brute_top(rows)
+
+
 def test_top_k_of_nothing_and_of_repeated_queries(spark):
     frame = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]
