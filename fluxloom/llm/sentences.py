@@ -7,11 +7,12 @@ library spreads over its threads, and decodes by joining the bytes of pieces.
 When no piece holds a marker after another character, and none a line feed, merges never cross from one word into the
 next marker, nor a line feed. A text is then cut there and every distinct unit is encoded once per worker; each new
 unit is compared with the original library, so parity is verified on everything that was encoded. Otherwise whole
-texts are encoded and compared. The store of units is emptied when full, which bounds memory and changes no result.
+texts are encoded and compared. Where the two differ the original's ids are taken, and ``parity`` is false. The store of
+units is emptied when full, which bounds memory and changes no result.
 
 Defined cases: a null text is empty and has no ids; a marker character in a text reads back as the space it stands for;
-repeated rows give equal rows; an empty table gives an empty result; carried columns keep their names and the results
-are named by the caller, who can avoid a clash.
+repeated rows give equal rows; an empty table gives an empty result; carried columns keep their names and the names of
+the results begin with the caller's ``prefix``, which can avoid a clash.
 """
 
 from __future__ import annotations
@@ -200,15 +201,17 @@ class Codec:
             self.known[unit] = feed.join([self.parts[p] for p in pieces])
         true = self.original.encode([unit[1:].replace(MARK, " ") for unit in new], num_threads=1)
         for unit, ids in zip(new, true):
-            if self.known[unit] != np.array(ids if unit != MARK else [self.mark], self.kind).tobytes():
+            right = np.array(ids if unit != MARK else [self.mark], self.kind).tobytes()
+            if self.known[unit] != right:
                 self.wrong.add(unit)
+                self.known[unit] = right
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids of every text, and whether the original library gives the same."""
         if not self.by_unit:
             coded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
             true = self.original.encode(texts, num_threads=1)
-            return [(np.array(a.ids, self.kind).tobytes(), a.ids == b) for a, b in zip(coded, true)]
+            return [(np.array(b, self.kind).tobytes(), a.ids == b) for a, b in zip(coded, true)]
         split = []
         for text in texts:
             plain = text and "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text
@@ -243,11 +246,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encoded(docs: DataFrame, carry: list[str], model: str, ids: str | None = None) -> DataFrame:
-    """Carried columns, ``n_tokens``, ``ids_crc32``, ``parity`` and ``round_trip``; the ids too if ``ids`` names them."""
+def encoded(docs: DataFrame, carry: list[str], model: str, ids: str | None = None, prefix: str = "") -> DataFrame:
+    """Carried columns, ``n_tokens``, ``ids_crc32``, ``parity`` and ``round_trip``; the ids too if ``ids`` names them.
+
+    ``prefix`` goes before the names of the four.
+    """
     kept = [T.StructField(c, docs.schema[c].dataType) for c in carry]
-    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
-            T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())]
+    made = [T.StructField(prefix + "n_tokens", T.LongType()), T.StructField(prefix + "ids_crc32", T.LongType()),
+            T.StructField(prefix + "parity", T.BooleanType()), T.StructField(prefix + "round_trip", T.BooleanType())]
     if ids:
         made.append(T.StructField(ids, T.ArrayType(T.IntegerType())))
 

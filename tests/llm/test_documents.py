@@ -332,7 +332,9 @@ def test_a_unit_that_differs_is_reported():
     code = sentences.Codec(PIECES)
     true = code._ids
     code._ids = lambda parts: [x + x if p == "▁wrong" else x for p, x in zip(parts, true(parts))]
-    assert [same for _, same in code.encode(["right here", "all wrong"])] == [True, False]
+    coded = code.encode(["right here", "all wrong"])
+    assert [same for _, same in coded] == [True, False]
+    assert [np.frombuffer(raw, code.kind).tolist() for raw, _ in coded] == code.original.encode(["right here", "all wrong"])
 
 
 def unigram_file() -> bytes:
@@ -366,6 +368,12 @@ def test_encoded_documents(hard, nothing):
     assert sentences.encoded(nothing, ["doc_id"], PIECES).count() == 0
 
 
+def test_encoded_documents_with_a_clashing_column(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, n_tokens string")
+    row = sentences.encoded(docs, ["doc_id", "n_tokens"], PIECES, prefix="made_").first()
+    assert (row["n_tokens"], row["made_n_tokens"], row["made_parity"]) == ("mine", 2, True)
+
+
 # ---------------------------------------------------------------- mixing
 
 
