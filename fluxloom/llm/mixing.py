@@ -11,8 +11,8 @@ again by weight. A document may be taken ``CAP`` times, and reaching a target is
    parameter. Where a gap of over a thousandth remains, as with a few long documents, it is tried again with a half,
    a quarter and nothing of the budget given out in proportion, and the nearest result stays;
 4. copies of a length go to its documents in equal numbers, and those that remain to the first by a seeded hash. Hash
-   ranks are counted per (source, length, hash bucket), at most ``BUCKETS`` numbers for a length, so a length shared by
-   a third of all rows is spread over many tasks.
+   ranks are counted per (source, length, hash bucket), at most ``BUCKETS`` numbers for a length in shelves of
+   ``SHELF``, so a length shared by a third of all rows is spread over many tasks.
 
 Defined cases: null texts have size 0 and take 0 words; a null source is one source, ordered last; rows equal in id,
 source and text are one unit (their lengths add up) and share one decision; an empty table gives an empty result;
@@ -35,7 +35,7 @@ CAP = 2
 WEIGHTS = (3, 1, 2)
 SEED = 20
 DP_BUDGET = 1 << 16
-BUCKETS = 4096
+BUCKETS, SHELF = 4096, 64
 PLAN = "g_source string, unit_words long, each long, more long"
 
 
@@ -153,6 +153,28 @@ def _same(left: str, right: str, *keys: str) -> Column:
     return condition
 
 
+def quotas(units: DataFrame, plan: DataFrame) -> DataFrame:
+    """(g_source, unit_words, bucket, left): what is left of ``plan``'s ``more`` units when a bucket's turn comes, if anything.
+
+    Buckets stand on shelves of ``SHELF``: sums over the shelves before, and over the buckets before on the same shelf, so that
+    no task has to number all buckets of a frequent length.
+    """
+    here = units.groupBy("g_source", "unit_words", "bucket").agg(F.count(F.lit(1)).alias("here"))
+    here = store(here.alias("b").join(plan.alias("w"), _same("b", "w", "g_source", "unit_words")).select(
+        "b.*", "w.more", F.floor(F.col("b.bucket") / SHELF).alias("shelf")), "mix-buckets")
+
+    def earlier(by: str, *keys: str) -> Column:
+        rows = Window.partitionBy("g_source", "unit_words", *keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("here").over(rows), F.lit(0))
+
+    shelves = here.groupBy("g_source", "unit_words", "shelf").agg(F.sum("here").alias("here")).withColumn("earlier", earlier("shelf"))
+    shelves = store(shelves.drop("here"), "mix-shelves")
+    placed = here.withColumn("on_shelf", earlier("bucket", "shelf")).alias("b").join(
+        shelves.alias("s"), _same("b", "s", "g_source", "unit_words", "shelf"))
+    left = F.col("b.more") - F.col("s.earlier") - F.col("b.on_shelf")
+    return placed.select("b.g_source", "b.unit_words", "b.bucket", left.alias("left")).where("left > 0")
+
+
 def mixed(docs: DataFrame, carry: list[str], mix: Mix = Mix()) -> DataFrame:
     """Every row with its words, its source's words and target, and ``copies``, how often the mix takes it."""
     rows = store(sized(docs, carry, mix.seed), "mix-sizes")
@@ -166,10 +188,7 @@ def mixed(docs: DataFrame, carry: list[str], mix: Mix = Mix()) -> DataFrame:
     problem = by_length.alias("c").join(targets.alias("t"), _same("c", "t", "g_source")).select("c.*", "t.budget")
     plan = store(problem.groupBy("g_source").applyInPandas(_planner(mix.cap), PLAN), "mix-plan")
 
-    in_bucket = units.where("unit_words > 0").groupBy("g_source", "unit_words", "bucket").agg(F.count(F.lit(1)).alias("here"))
-    upto = Window.partitionBy("g_source", "unit_words").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    quota = in_bucket.alias("b").join(plan.where("more > 0").alias("w"), _same("b", "w", "g_source", "unit_words")).select("b.*", "w.more")
-    quota = quota.withColumn("left", F.col("more") - F.coalesce(F.sum("here").over(upto), F.lit(0))).where("left > 0")
+    quota = quotas(units.where("unit_words > 0"), plan.where("more > 0"))
     place = F.row_number().over(Window.partitionBy("u.g_source", "u.unit_words", "u.bucket").orderBy("u.h", "u.words"))
     chosen = store(units.alias("u").join(quota.alias("q"), _same("u", "q", "g_source", "unit_words", "bucket")).select(
         "u.g_source", "u.words", "u.h", "q.left", place.alias("place")).where("place <= left"), "mix-chosen")

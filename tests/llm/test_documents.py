@@ -377,6 +377,23 @@ def test_encoded_documents_with_a_clashing_column(spark):
 # ---------------------------------------------------------------- mixing
 
 
+def test_quotas_over_shelves_equal_running_sums(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", 7, int(b)) for b in rng.integers(0, mixing.BUCKETS, 3000)] + [
+        (None, 7, int(b)) for b in rng.integers(0, 200, 50)] + [("cold", 9, 4095), ("unasked", 7, 1)]
+    plan = [("hot", 7, 1717), (None, 7, 20), ("cold", 9, 5)]
+    units = spark.createDataFrame(rows, "g_source string, unit_words long, bucket long")
+    got = mixing.quotas(units, spark.createDataFrame(plan, "g_source string, unit_words long, more long")).collect()
+    expected = {}
+    for source, words, more in plan:
+        left = more
+        for bucket in sorted({b for s, w, b in rows if (s, w) == (source, words)}):
+            if left > 0:
+                expected[source, words, bucket] = left
+            left -= rows.count((source, words, bucket))
+    assert {(r["g_source"], r["unit_words"], r["bucket"]): r["left"] for r in got} == expected and len(got) == len(expected)
+
+
 def test_fill_reaches_what_brute_force_reaches():
     rng = random.Random(2)
     for _ in range(300):
