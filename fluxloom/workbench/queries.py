@@ -78,7 +78,7 @@ def _stamped(df: DataFrame) -> DataFrame:
 
 
 def _site_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write the flux table as one marked folder per site, with a file per year.
+    """Write the flux table as one marked folder per site, with a file in it: a site has a row a day at most.
 
     Column order differs between two groups of sites, and the sites of one region
     lack a required column.
@@ -97,8 +97,8 @@ def _site_files(spark: SparkSession, sf_dir: str) -> str:
     for part, columns in (
         (region < BROKEN_REGION, whole), (region > BROKEN_REGION, turned), (region == BROKEN_REGION, short)
     ):
-        rows.where(part).select(*columns, "file").repartition("file", F.floor(F.col("TIMESTAMP") / 10000)).write.mode("append").option(
-            "header", "true"
+        rows.where(part).select(*columns, "file").repartition("file").write.mode("append").option("header", "true").option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2"  # tasks move their files, not the driver one after the other
         ).partitionBy("file").csv(folder)
     return folder
 
