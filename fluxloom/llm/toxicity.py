@@ -46,7 +46,6 @@ FOLDS, HELD_OUT = 4, 2
 PER_LABEL = 1500
 PREFIXES = (4, 5, 6)
 MIN_ROWS, MIN_CHI, MIN_SHARE = 3, 15.0, 0.95
-VOCABULARY = 1024
 ONE_TERM = 0.9
 BLOCK = 64
 K = 15
@@ -135,14 +134,18 @@ def vocabulary_of(sample: DataFrame) -> list[str]:
     share = (F.col("toxic") / positive) / (F.col("toxic") / positive + F.col("clean") / negative)
     strong = counted.where((F.col("toxic") >= MIN_ROWS)).withColumns({"chi": chi, "share": share}).where(
         (F.col("chi") >= MIN_CHI) & (F.col("share") >= MIN_SHARE))
-    found = [(r["term"], r["toxic"]) for r in strong.orderBy(F.col("chi").desc(), "term").limit(VOCABULARY).collect()]
+    found = [(r["term"], r["toxic"]) for r in strong.orderBy(F.col("chi").desc(), "term").collect()]  # of a bounded sample
     return most_specific(found)
 
 
 def most_specific(found: list[tuple[str, int]]) -> list[str]:
     """Without beginnings that stand for one longer term: it has ``ONE_TERM`` of their rows."""
+    most: dict[str, list[tuple[int, str]]] = {}  # per beginning its two commonest terms
+    for other, m in found:
+        for size in {n for n in PREFIXES if len(other) >= n}:
+            most[other[:size]] = sorted([*most.get(other[:size], []), (m, other)], reverse=True)[:2]
     return [term for term, n in found if not (term.endswith("*") and any(
-        other != term and other.startswith(term[:-1]) and m >= ONE_TERM * n for other, m in found))]
+        other != term and m >= ONE_TERM * n for m, other in most[term[:-1]]))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[float, float]:
