@@ -38,7 +38,7 @@ from fluxloom.llm.text import whole
 from fluxloom.storage import fresh_path, scratch, store, write
 
 BLOCK = 1 << 23
-SHARD = 1 << 24
+SHARD = 1 << 23  # bytes of text; a task holds all counts of a shard, and an executor runs several tasks
 CHUNK = 1 << 20
 WORD, PAIR = 0, 1
 COLUMNS = {WORD: 5, PAIR: 1}
