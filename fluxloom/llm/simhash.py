@@ -130,10 +130,14 @@ def _keyed(prints: DataFrame, near_only: bool, name: str) -> DataFrame:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Pairs ``low`` < ``high`` of distinct fingerprints with ``MAX_BITS`` or fewer differing bits, each once."""
+    """Pairs ``low`` < ``high`` of distinct fingerprints with ``MAX_BITS`` or fewer differing bits, each once.
+
+    Keys are 8 and more rows a fingerprint and made in Python, so Spark takes them to be as small as the fingerprints and
+    would send them through the driver; the hint has them sorted and merged.
+    """
     near, wide = _keyed(prints, True, "low"), _keyed(prints, False, "high")
     close = F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= MAX_BITS
-    pairs = near.join(wide, (near["key"] == wide["key"]) & (F.col("low") < F.col("high")) & close)
+    pairs = near.hint("merge").join(wide, (near["key"] == wide["key"]) & (F.col("low") < F.col("high")) & close)
     return pairs.select("low", "high").distinct()
 
 
