@@ -55,3 +55,17 @@ def test_an_assignment_is_learnt_by_its_value(spark):
     docs = spark.createDataFrame([('x api_key: "abc123def456ghi" y',), ("AKIA" + "Q1" * 8,)], "text string")
     found = sorted(tuple(r)[:4] for r in secrets.labelled_findings(docs).collect())
     assert found == [(1, "", "AKIA" + "Q1" * 8, ""), (1, 'x api_key: "', "abc123def456ghi", '" y')]
+
+
+def test_one_shard_is_the_plain_training(spark):
+    docs = spark.createDataFrame([(t,) for t in texts(60)], "text string")
+    rows = [tuple(r)[:4] for r in secrets.labelled_findings(docs).distinct().collect()]
+    plain, made = secrets.train(rows), secrets.fit(docs)
+    assert abs(plain.threshold - made.threshold) < 1e-9 and plain.n_held == made.n_held and plain.recall == made.recall
+
+
+def test_every_finding_counts(spark):
+    docs = spark.createDataFrame([(t,) for t in texts(1300)], "text string").repartition(4)
+    network = secrets.fit(docs, shard_rows=1000)  # three shards, both labels beyond the few that all shards see
+    assert network.n_held == (325, 325) and network.recall >= secrets.RECALL - 0.01 and network.precision > 0.95
+    assert (network.slope, network.threshold) == ((again := secrets.fit(docs, shard_rows=1000)).slope, again.threshold)
