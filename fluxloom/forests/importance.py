@@ -8,7 +8,8 @@ row takes the next row's values. Blocks are random subsets of the table, so this
 is a random rearrangement of each column without sorting the table in one task.
 
 Errors are averaged per predictor in the same pass as they are made, for ``TREES_AT_ONCE``
-trees at a time, so what is shuffled is a row per predictor and task.
+trees at a time, so what is shuffled is a row per predictor and task. Rows of shallow forests are not multiplied: a task
+exchanges one predictor after the other in its blocks, and asks only the trees that split by it again.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
-from fluxloom.forests.models import bag_weight, in_pools
+from fluxloom.forests.models import bag_weight, in_pools, known_together
 from fluxloom.forests.prepare import FEATURES
+from fluxloom.forests.shallow import ShallowForestModel
 from fluxloom.operators.splits import hash_pair, hash_place
 from fluxloom.storage import store
 
@@ -56,8 +61,35 @@ def _variants(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFram
     return df.select(target, F.inline(F.array(*[variant(p) for p in (NONE, *predictors)])))
 
 
+def _shallow_errors(model: PipelineModel, donors: DataFrame, target: str, predictors: Sequence[str], number_from: int) -> DataFrame:
+    """``tree_errors`` of a shallow forest: sums per task, of all trees and predictors in one pass."""
+    prepare, grown = PipelineModel(stages=model.stages[:-1]), model.stages[-1].forests()
+    own = prepare.transform(donors.select(F.col(target).cast("double").alias("_y"), *predictors, "donor"))
+    both = prepare.transform(own.select("_y", vector_to_array(FEATURES).alias("_own"), "donor.*")).select(
+        "_y", "_own", vector_to_array(FEATURES).alias("_given"))
+    names = [NONE, *predictors]
+
+    def sums(batches):
+        held, n = None, 0
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            for errors in grown.exchanged_errors(y, batch.column(1), batch.column(2)):
+                held = errors if held is None else held + errors
+            n += len(y)
+        if n:
+            for name, errors in zip(names, held):
+                yield pa.RecordBatch.from_pydict({
+                    "variable": pa.array([name] * len(errors)), "tree": pa.array(range(number_from, number_from + len(errors)), pa.int32()),
+                    "sum": pa.array(errors), "n": pa.array([n] * len(errors), pa.int64())})
+
+    parts = both.mapInArrow(sums, "variable string, tree int, sum double, n long")
+    return store(parts.groupBy("variable", "tree").agg((F.sum("sum") / F.sum("n")).alias("mse")), "tree_errors")
+
+
 def tree_errors(model: PipelineModel, donors: DataFrame, target: str, predictors: Sequence[str], number_from: int = 0) -> DataFrame:
     """``tree, variable, mse``: the squared error of every tree, with no predictor (``-``) and with each one exchanged."""
+    if isinstance(model.stages[-1], ShallowForestModel):
+        return _shallow_errors(model, donors, target, predictors, number_from)
     trees = model.stages[-1].trees
     prepared = PipelineModel(stages=model.stages[:-1]).transform(_variants(donors, target, predictors))
     prepared = prepared.select("variable", F.col(target).alias("_y"), FEATURES)
@@ -94,12 +126,30 @@ def permutation_importance(
     keys: Sequence[str],
     seed: int = 42,
     block_rows: int = BLOCK_ROWS,
+    donors: DataFrame | None = None,
 ) -> DataFrame:
-    """Importance of every predictor over ``df``, which should be rows the forest was not fitted on."""
-    donors = store(with_donor(df.where(F.col(target).isNotNull()), predictors, keys, seed, block_rows), "donors")
+    """Importance of every predictor over ``df``, which should be rows the forest was not fitted on.
+
+    ``donors`` are the rows of ``shared_donors``, if several models are measured.
+    """
+    if donors is None:
+        donors = store(with_donor(df.where(F.col(target).isNotNull()), predictors, keys, seed, block_rows), "donors")
     return importance_of(tree_errors(model, donors, target, predictors), predictors)
 
 
+def shared_donors(
+    df: DataFrame, targets: dict[str, Sequence[str]], keys: Sequence[str], seed: int = 42, block_rows: int = BLOCK_ROWS
+) -> dict[str, DataFrame]:
+    """Rows with their donors for every target (and its predictors): one stored table for targets that are known in the same rows."""
+    found = {}
+    for group in known_together(df, list(targets)):
+        predictors = list(dict.fromkeys(p for t in group for p in targets[t]))
+        columns = dict.fromkeys([*keys, *group, *predictors])
+        rows = df.where(F.col(group[0]).isNotNull()).select(*columns)
+        found |= dict.fromkeys(group, store(with_donor(rows, predictors, keys, seed, block_rows), "donors"))
+    return found
+
+
 def out_of_bag_importance(
     bags: Sequence[PipelineModel],
     train: DataFrame,
