@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
-from fluxloom.forests.models import bag_weight, in_pools, known_together
+from fluxloom.forests.models import in_pools, known_together, undrawn_bag
 from fluxloom.forests.prepare import FEATURES
 from fluxloom.forests.shallow import ShallowForestModel
 from fluxloom.operators.splits import hash_pair, hash_place
@@ -161,11 +161,11 @@ def out_of_bag_importance(
     parallelism: int = 4,
 ) -> DataFrame:
     """Importance over the rows that each bag of ``fit_bags`` (with this seed) has not drawn, exchanged among themselves."""
-    unseen = [F.when(bag_weight(keys, b, seed) == 0, F.lit(b)) for b in range(len(bags))]
-    rows = train.where(F.col(target).isNotNull()).select(
-        *dict.fromkeys([*keys, target, *predictors]), F.explode(F.array_compact(F.array(*unseen))).alias("_bag"))
+    unseen = F.array_compact(F.array(*[undrawn_bag(keys, b, seed) for b in range(len(bags))]))
+    known = train.where(F.col(target).isNotNull()).select(*dict.fromkeys([*keys, target, *predictors]), unseen.alias("_bags"))
+    rows = store(known, "unseen_rows").select(*dict.fromkeys([*keys, target, *predictors]), F.explode("_bags").alias("_bag"))
     donors = store(with_donor(rows, predictors, keys, seed, block_rows, ["_bag"]), "donors")
-    each = len(bags[0].stages[-1].trees)
+    each = bags[0].stages[-1].getNumTrees
     parts = in_pools(train.sparkSession, [
         lambda b=b, m=m: tree_errors(m, donors.where(F.col("_bag") == b), target, predictors, b * each) for b, m in enumerate(bags)
     ], parallelism)
