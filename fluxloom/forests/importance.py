@@ -8,8 +8,8 @@ row takes the next row's values. Blocks are random subsets of the table, so this
 is a random rearrangement of each column without sorting the table in one task.
 
 Errors are averaged per predictor in the same pass as they are made, for ``TREES_AT_ONCE``
-trees at a time, so what is shuffled is a row per predictor and task. Rows of shallow forests are not multiplied: a task
-exchanges one predictor after the other in its blocks, and asks only the trees that split by it again.
+trees at a time, so what is shuffled is a row per predictor and task. Rows of forests grown here are not multiplied: a task
+exchanges one predictor after the other in its blocks, and asks only the trees that split by it again (all trees, of deep forests).
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom import schema as S
+from fluxloom.forests.deep import DeepForestModel
 from fluxloom.forests.models import in_pools, known_together, undrawn_bag
 from fluxloom.forests.prepare import FEATURES
 from fluxloom.forests.shallow import ShallowForestModel
@@ -61,14 +62,22 @@ def _variants(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFram
     return df.select(target, F.inline(F.array(*[variant(p) for p in (NONE, *predictors)])))
 
 
-def _shallow_errors(model: PipelineModel, donors: DataFrame, target: str, predictors: Sequence[str], number_from: int) -> DataFrame:
-    """``tree_errors`` of a shallow forest: sums per task, of all trees and predictors in one pass."""
-    prepare, grown = PipelineModel(stages=model.stages[:-1]), model.stages[-1].forests()
+def _errors_in_tasks(model: PipelineModel, donors: DataFrame, target: str, predictors: Sequence[str], number_from: int) -> DataFrame:
+    """``tree_errors`` of a forest grown here: sums per task, of all trees and predictors in one pass."""
+    prepare, last = PipelineModel(stages=model.stages[:-1]), model.stages[-1]
+    deep = last.exchanged_errors() if isinstance(last, DeepForestModel) else None
+    grown = None if deep else last.forests()
     own = prepare.transform(donors.select(F.col(target).cast("double").alias("_y"), *predictors, "donor"))
     both = prepare.transform(own.select("_y", vector_to_array(FEATURES).alias("_own"), "donor.*")).select(
         "_y", "_own", vector_to_array(FEATURES).alias("_given"))
     names = [NONE, *predictors]
 
+    def sums_by_tree(batches):
+        for number, errors, n in deep(batches):
+            yield pa.RecordBatch.from_pydict({
+                "variable": pa.array(names), "tree": pa.array([number_from + number] * len(names), pa.int32()),
+                "sum": pa.array(errors), "n": pa.array([n] * len(names), pa.int64())})
+
     def sums(batches):
         held, n = None, 0
         for batch in batches:
@@ -82,14 +91,14 @@ def _shallow_errors(model: PipelineModel, donors: DataFrame, target: str, predic
                     "variable": pa.array([name] * len(errors)), "tree": pa.array(range(number_from, number_from + len(errors)), pa.int32()),
                     "sum": pa.array(errors), "n": pa.array([n] * len(errors), pa.int64())})
 
-    parts = both.mapInArrow(sums, "variable string, tree int, sum double, n long")
+    parts = both.mapInArrow(sums_by_tree if deep else sums, "variable string, tree int, sum double, n long")
     return store(parts.groupBy("variable", "tree").agg((F.sum("sum") / F.sum("n")).alias("mse")), "tree_errors")
 
 
 def tree_errors(model: PipelineModel, donors: DataFrame, target: str, predictors: Sequence[str], number_from: int = 0) -> DataFrame:
     """``tree, variable, mse``: the squared error of every tree, with no predictor (``-``) and with each one exchanged."""
-    if isinstance(model.stages[-1], ShallowForestModel):
-        return _shallow_errors(model, donors, target, predictors, number_from)
+    if isinstance(model.stages[-1], (ShallowForestModel, DeepForestModel)):
+        return _errors_in_tasks(model, donors, target, predictors, number_from)
     trees = model.stages[-1].trees
     prepared = PipelineModel(stages=model.stages[:-1]).transform(_variants(donors, target, predictors))
     prepared = prepared.select("variable", F.col(target).alias("_y"), FEATURES)
